@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tempora.llm.bpe import op5_bpe
+from tempora.llm.jpeg import op2_media
+from tempora.llm.langid import op3_langid
 from tempora.llm.simhash import op1_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {"op1_simhash": op1_simhash, "op2_media": op2_media, "op3_langid": op3_langid, "op5_bpe": op5_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
