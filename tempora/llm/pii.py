@@ -134,7 +134,7 @@ def discover(scanned: DataFrame) -> DataFrame | None:
     """Spans beyond the base ones, as doc_id, th, kind, s, e; None if no context came to be trusted."""
     c = scanned.select("doc_id", "th", "base", F.explode("found").alias("c")).select("doc_id", "th", "base", "c.*")
     meets = F.filter("base", lambda b: (b["s"] < F.col("e")) & (b["e"] > F.col("s")))
-    same = F.element_at(F.filter(meets, lambda b: 5 * (F.least(b["e"], F.col("e")) - F.greatest(b["s"], F.col("s"))) >= 4 * (F.col("e") - F.col("s"))), 1)
+    same = F.get(F.filter(meets, lambda b: 5 * (F.least(b["e"], F.col("e")) - F.greatest(b["s"], F.col("s"))) >= 4 * (F.col("e") - F.col("s"))), F.lit(0))
     c = c.where(F.col("inst") != "").withColumn("known", F.when(F.size(meets) > 0, same["kind"])).withColumn("blocked", F.size(meets) > 0).drop("base")
     c = materialize(c, "pii-candidates")
     context = F.array(F.concat(F.lit("l:"), "l"), F.concat(F.lit("r:"), "r"))
