@@ -42,10 +42,10 @@ class Ingest:
         fresh = judged.where(F.col("had").isNull() & (F.col("digest") == F.col("first"))).dropDuplicates(["item_key"])
         fresh = materialize(fresh.drop("first", "had"), "ingest")
         n, tx = fresh.count(), 0
-        for k in range(max(1, -(-n // MAX_MUTATIONS))):
-            if n:
-                part = fresh.where(F.pmod(F.xxhash64("item_key"), F.lit(max(1, -(-2 * n // MAX_MUTATIONS)))) == k) if n > MAX_MUTATIONS else fresh
-                tx = self.writer.commit([self.writer.rows("vertex", part.withColumn("valid_to", F.lit(OPEN)))], key=f"{self.path}#{batch_id}.{k}")["tx_time"]
+        parts = 1 if n <= MAX_MUTATIONS else -(-2 * n // MAX_MUTATIONS)  # twice as many as needed, as hashing is uneven
+        for k in range(parts if n else 0):
+            part = fresh.where(F.pmod(F.xxhash64("item_key"), F.lit(parts)) == k)
+            tx = self.writer.commit([self.writer.rows("vertex", part.withColumn("valid_to", F.lit(OPEN)))], key=f"{self.path}#{batch_id}.{k}")["tx_time"]
         ok = F.coalesce(F.col("had"), F.col("first")) == F.col("digest")
         out = judged.select("item_key", "digest", F.when(ok, "COMMITTED").otherwise("REJECTED").alias("status"), F.lit(tx).cast("bigint").alias("tx_time"), F.lit(batch_id).cast("bigint").alias("batch_id")).distinct()
         out.write.mode("overwrite").parquet(f"{self.path}/batch-{batch_id:012d}")

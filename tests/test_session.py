@@ -156,6 +156,19 @@ def test_snapshots_stream_and_jobs(spark, tmp_path, session):
     assert spark.read.format("tempora").option("paths", ",".join(files)).load().count() == 3
 
 
+def test_large_batches_are_cut(spark, tmp_path, monkeypatch):
+    from tempora.operators import write
+    from tempora.streaming import ingest
+
+    monkeypatch.setattr(ingest, "MAX_MUTATIONS", 12)
+    monkeypatch.setattr(write, "MAX_MUTATIONS", 16)
+    w = GraphWriter(spark, f"file://{tmp_path}/w", [PropertySpec("name", "string")], [])
+    items = spark.range(1, 31).selectExpr("cast(id as string) item_key", "id", "0L valid_from", "'x' name")
+    for _ in range(2):
+        ingest.Ingest(w, f"file://{tmp_path}/r").batch(items, 0)
+    assert sorted(r.id for r in w.graph().vertices.collect()) == list(range(1, 31))
+
+
 def test_pushdown(session, spark, tmp_path):
     session.default.vertices.write.parquet(f"{tmp_path}/v")
     plan = temporal.point(spark.read.parquet(f"{tmp_path}/v"), 2, 17, 23, [])._jdf.queryExecution().executedPlan().toString()
