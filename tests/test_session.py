@@ -167,6 +167,9 @@ def test_large_batches_are_cut(spark, tmp_path, monkeypatch):
     for _ in range(2):
         ingest.Ingest(w, f"file://{tmp_path}/r").batch(items, 0)
     assert sorted(r.id for r in w.graph().vertices.collect()) == list(range(1, 31))
+    before = sorted(map(str, w.graph().vertices.collect()))
+    assert w.compact()["batches"]["vertex"] != [] and len(w.manifest()["batches"]["vertex"]) == 1
+    assert sorted(map(str, w.graph().vertices.collect())) == before
 
 
 def test_pushdown(session, spark, tmp_path):
