@@ -10,7 +10,7 @@ WEEK = 7 * 24 * 3600 * 1_000_000
 
 
 def _micros(c: str) -> Column:
-    """A zone-less timestamp as microseconds, taken as UTC whatever the session's zone."""
+    """A zone-less timestamp as microseconds since the epoch; sessions run in UTC."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c))
 
 
