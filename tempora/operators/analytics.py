@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tempora.functions.components import components
 from tempora.functions.lineage import materialize, numbered
 
 
@@ -146,32 +147,10 @@ def bounded_apsp(g: Projection, weight: str | None = None, max_pairs: int = 4096
 
 # ---- components
 
-def _star(e: DataFrame, large: bool) -> DataFrame:
-    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    moved = both.join(least, "u")
-    if large:
-        out = moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = moved.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
-
-
 def weakly_connected_components(g: Projection) -> DataFrame:
-    """component (its least vertex), vertex; alternating stars, in logarithmically many rounds."""
+    """component (its least vertex), vertex."""
     e = g.edges.where(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    e = materialize(e, "wcc")
-
-    def mark(x: DataFrame):
-        return x.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit((1 << 31) - 1)))).first()
-
-    was = mark(e)
-    while was[0]:
-        e = materialize(_star(_star(e, True), False), "wcc")
-        now = mark(e)
-        if now == was:
-            break
-        was = now
+    e = components(e)
     return g.vertices.join(e, g.vertices["id"] == e["u"], "left").select(F.coalesce("v", "id").alias("component"), F.col("id").alias("vertex"))
 
 
