@@ -31,15 +31,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from tempora.llm.common import documents, small_batches
+from tempora.llm.common import Bounded, documents, small_batches
 from tempora.llm.sorted_hash import Finder
 
 #: Bytes of a pre-token beyond which it goes through the transducer's windows.
 LONG = 48
 #: Pre-tokens that a worker remembers at most.
-MEMO = 1_000_000
+MEMO = 400_000
 #: Characters that are cut into pre-tokens at a time; one text is never split here.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 _NONE = np.int32(2**31 - 1)
@@ -475,10 +475,10 @@ def tokenizer_path(name: str) -> str:
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the ids of each whole text."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_Ids(path), f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(Bounded(_Ids(path)), f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
 
 def op5_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
     docs = documents(spark, sf_dir)
     small_batches(spark)
-    return docs.mapInArrow(_Digests(path or tokenizer_path("byte_bpe_50k.json")), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(Bounded(_Digests(path or tokenizer_path("byte_bpe_50k.json"))), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
-import shutil
 import tempfile
-import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-_own_dirs: list[str] = []
+from tempora.functions.lineage import materialize as materialize
+
 _shipped: set[str] = set()
 
 
@@ -42,30 +44,6 @@ def ship(spark: SparkSession) -> None:
     atexit.register(lambda: os.path.exists(path) and os.remove(path))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where it is unset and Spark runs in one process."""
-    d = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        return d.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    d = os.path.join(tempfile.gettempdir(), "checkpoints")
-    os.makedirs(d, exist_ok=True)
-    return f"file://{d}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet below the shared folder and read it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if path.startswith("file:") and spark.sparkContext.master.startswith("local["):
-        if not _own_dirs:
-            atexit.register(lambda: [shutil.rmtree(p, ignore_errors=True) for p in _own_dirs])
-        _own_dirs.append(path.removeprefix("file://"))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; null for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -95,3 +73,24 @@ def small_batches(spark: SparkSession) -> None:
         if "maxBytesPerBatch" not in str(e):
             raise
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+class Bounded:
+    """A function over batches that gives free memory back to the system after each one; Spark's workers live on between tasks."""
+
+    def __init__(self, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+        self.function = function
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in self.function(batches):
+            yield out
+            del out
+            pa.default_memory_pool().release_unused()
+            if _trim is not None:
+                _trim(0)

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tempora.llm.common import documents, small_batches
+from tempora.llm.common import Bounded, documents, small_batches
 
 INTERVAL = 64
 MAX_SIDE_BLOCKS = 8191
@@ -417,13 +417,13 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def encode_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: each whole text as a JPEG stream."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_encode_batches, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes bigint, media binary")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(Bounded(_encode_batches), f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes bigint, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
     """Dimensions, thumbnail hash and digests of each row's media, with what its thumbnail holds."""
     small_batches(media.sparkSession)
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_digest_batches, f"doc_id {dict(media.dtypes)['doc_id']}, {_DIGEST}")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(Bounded(_digest_batches), f"doc_id {dict(media.dtypes)['doc_id']}, {_DIGEST}")
 
 
 def op2_media(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tempora.llm.bpe import encoder, tokenizer_path
-from tempora.llm.common import documents, materialize, small_batches
+from tempora.llm.common import Bounded, documents, materialize, small_batches
 
 CAPACITY = 4096
 END = 2
@@ -102,7 +102,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     kind = dict(docs.dtypes)["doc_id"]
-    pieces = docs.select("doc_id", "text").mapInArrow(_Pieces(path or tokenizer_path("word_bpe_49k.json")), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, row bigint")
+    pieces = docs.select("doc_id", "text").mapInArrow(Bounded(_Pieces(path or tokenizer_path("word_bpe_49k.json"))), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, row bigint")
     pieces = materialize(pieces, "packing-pieces")
     groups = max(1, -(-pieces.count() // GROUP))
     mix = F.xxhash64("doc_id", "start", "ids_crc32", "row", F.lit(SEED))

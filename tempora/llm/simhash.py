@@ -27,7 +27,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tempora.llm.common import documents, materialize, small_batches
+from tempora.functions.components import components
+from tempora.llm.common import Bounded, documents, materialize, small_batches
 
 MAX_BITS = 3
 SEED = 42
@@ -118,7 +119,7 @@ def with_fingerprint(df: DataFrame, text: str, keep: list[Column]) -> DataFrame:
     """The columns keep and fp, the fingerprint of the text."""
     small_batches(df.sparkSession)
     df = df.select(*keep, F.col(text).cast("binary").alias("_text"))
-    return df.mapInArrow(_fingerprint_batches, ", ".join(f"`{n}` {t}" for n, t in df.dtypes if n != "_text") + ", fp bigint")
+    return df.mapInArrow(Bounded(_fingerprint_batches), ", ".join(f"`{n}` {t}" for n, t in df.dtypes if n != "_text") + ", fp bigint")
 
 
 # ---- links
@@ -221,43 +222,11 @@ def links(fps: DataFrame) -> DataFrame:
         cells = cells.select("cell", F.lit(0).cast("bigint").alias("block"), "fp")
     small_batches(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    found = cells.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(_link_batches, "u bigint, v bigint")
+    found = cells.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(Bounded(_link_batches), "u bigint, v bigint")
     return found.distinct()
 
 
-# ---- components
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step: neighbours (large: the greater ones) move to the least neighbour of each node."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    moved = both.join(least, "u")
-    if large:
-        out = moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = moved.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Columns u, v: each linked node but the least of its component, and that least node."""
-    edges = materialize(edges, "simhash-links")
-
-    def mark(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(GRAIN)))).first()
-
-    was = mark(edges)
-    while was[0]:
-        edges = materialize(_star(_star(edges, True), False), "simhash-stars")
-        now = mark(edges)
-        if now == was:
-            break
-        was = now
-    return edges
-
-
-GRAIN = (1 << 31) - 1
-
+# ---- groups
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id, fp, text_hash and component_id, the least id of the fingerprint's component."""

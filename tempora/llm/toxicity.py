@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tempora.llm.common import documents, fold, sampled, small_batches, table
+from tempora.llm.common import Bounded, documents, fold, sampled, small_batches, table
 
 BUCKETS = 1 << 18
 RANK = 4
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame):
     counts = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = labels.where(sampled(F.col("doc_id"), F.col("toxic"), counts, LABELLED, SEED)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", F.xxhash64("doc_id", "text").alias("key"), "text")
-    found = rows.mapInArrow(_term_batches, f"toxic {dict(rows.dtypes)['toxic']}, key bigint, columns array<int>").toArrow().combine_chunks()
+    found = rows.mapInArrow(Bounded(_term_batches), f"toxic {dict(rows.dtypes)['toxic']}, key bigint, columns array<int>").toArrow().combine_chunks()
     y, key = found.column("toxic").to_numpy().astype(float), found.column("key").to_numpy()
     order = np.argsort(key, kind="stable")
     y, key = y[order], key[order]
@@ -199,5 +199,5 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     machine = train(docs, table(spark, sf_dir, "labels"))
     held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out")
-    out = docs.select("doc_id", held, F.col("text").alias("_text")).mapInArrow(_Scores(machine, ["doc_id", "held_out"]), f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double")
+    out = docs.select("doc_id", held, F.col("text").alias("_text")).mapInArrow(Bounded(_Scores(machine, ["doc_id", "held_out"])), f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
