@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tempora.functions.lineage import materialize as materialize
 
@@ -44,6 +44,16 @@ def ship(spark: SparkSession) -> None:
     atexit.register(lambda: os.path.exists(path) and os.remove(path))
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns of a row as one, so that none of their names can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+
+
+def schema_with(df: DataFrame, names: list[str], more: str = "") -> T.StructType:
+    """The schema of some columns of df and of more, given as DDL."""
+    return T.StructType([*(df.schema[n] for n in names), *(T.StructType.fromDDL(more).fields if more else [])])
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; null for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -22,7 +22,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tempora.llm.common import documents, materialize
+from tempora.llm.common import documents, materialize, whole
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns; possessive, and starting at a run's first character or where the last match ended.
@@ -196,9 +196,9 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of its texts replaced by its kind in angle brackets; n_chars follows the text."""
     added = discover(scan(docs))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("th", F.xxhash64(text)).withColumn("_base", base_spans(text))
+    rows = docs.select(whole(docs), "doc_id", "text", F.xxhash64(text).alias("th"), base_spans(text).alias("base"))
     rows = _with_added(rows, added)
-    spans = F.array_sort(F.transform(F.concat("_base", "added"), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"))))
+    spans = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -208,6 +208,5 @@ def redact(docs: DataFrame) -> DataFrame:
 
     clean = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
     rows = rows.withColumn("text", F.when(F.col("text").isNull() | (F.size(spans) == 0), F.col("text")).otherwise(clean))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"]))
-    return rows.select(*[f"`{c}`" for c in docs.columns])
+    new = {"text": F.col("text"), "n_chars": F.coalesce(F.char_length("text"), F.lit(0)).cast(dict(docs.dtypes).get("n_chars", "bigint"))}
+    return rows.select(*[new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tempora.functions.components import components
-from tempora.llm.common import Bounded, documents, materialize, small_batches
+from tempora.llm.common import Bounded, documents, materialize, small_batches, whole
 
 MAX_BITS = 3
 SEED = 42
@@ -255,4 +255,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     again = near.join(keep, near["id"].eqNullSafe(keep["id"]) & (near["text_hash"] == keep["text_hash"]), "left_semi").groupBy("id", "text_hash").count().where("count > 1")
     if again.isEmpty():
         return kept
-    return kept.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    return kept.select(whole(docs), "doc_id", F.xxhash64("text").alias("h")).dropDuplicates(["doc_id", "h"]).select("doc.*")
