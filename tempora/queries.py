@@ -545,7 +545,30 @@ def ga_pagerank(spark, d):
 
 @query("ga_betweenness")
 def ga_betweenness(spark, d):
-    return A.betweenness_centrality(small(spark, d)).withColumn("score", F.round("score", 6))
+    return A.betweenness_centrality(contacts(spark, d)).withColumn("score", F.round("score", 6))
+
+
+# The SQL of ga_sssp, ga_apsp, ga_scc and ga_closeness is of a part of the contacts; these are of all of them.
+
+@query("ga_sssp_all")
+def ga_sssp_all(spark, d):
+    return A.bounded_sssp(contacts(spark, d), 3, "weight").withColumn("distance", F.round("distance", 6))
+
+
+@query("ga_apsp_all")
+def ga_apsp_all(spark, d):
+    g = contacts(spark, d)
+    return A.bounded_apsp(g, "weight", max_pairs=g.vertices.count() ** 2).withColumn("distance", F.round("distance", 6))
+
+
+@query("ga_scc_all")
+def ga_scc_all(spark, d):
+    return A.strongly_connected_components(contacts(spark, d)).select("vertex", "component")
+
+
+@query("ga_closeness_all")
+def ga_closeness_all(spark, d):
+    return A.closeness_centrality(contacts(spark, d)).withColumn("score", F.round("score", 9))
 
 
 @query("ga_kcore")
