@@ -3,10 +3,11 @@
 Base spans are the leftmost non-overlapping matches of four patterns, with their digit and
 checksum tests. They seed a graph of instances and contexts: a candidate is a run of tokens that
 hold digits or an at sign; its contexts are the words before and after it. In each round Spark
-scores every context by the share of its distinct instances that are known as one kind, trusts
-those of at least MIN_SUPPORT and MIN_CONFIDENCE, and takes in unknown candidates of the kind's
-shape whose trusted contexts together leave less than 1 - ACCEPT doubt. What was taken in
-counts in the next round. Spans of accepted candidates that meet no base span are added.
+scores every context by its distinct instances of one kind against those that cannot be of it: known
+as another kind, or unknown and not of the kind's shape. Unknown ones of the shape count for neither,
+as they may be what is looked for. It trusts contexts of at least MIN_SUPPORT and MIN_CONFIDENCE, and
+takes in unknown candidates of the kind's shape whose trusted contexts together leave less than
+1 - ACCEPT doubt. What was taken in counts in the next round; rounds go on until nothing is. Spans of accepted candidates that meet no base span are added.
 
 All of it is DataFrame expressions. A pattern's positions come from the lengths of the pieces
 between its matches, summed in blocks; patterns are possessive, so Java's matcher neither
@@ -43,7 +44,6 @@ SHAPES = {
 }
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: [^\s0-9@]*+[0-9@]\S*+)*+"
 LONGEST = 64
-ROUNDS = 3
 MIN_SUPPORT = 8
 MIN_CONFIDENCE = 0.95
 ACCEPT = 0.97
@@ -140,25 +140,27 @@ def discover(scanned: DataFrame) -> DataFrame | None:
     context = F.array(F.concat(F.lit("l:"), "l"), F.concat(F.lit("r:"), "r"))
     edges = c.select("inst", F.explode(context).alias("context")).where(F.char_length("context") > 2).distinct()
     edges = materialize(edges, "pii-graph")
-    size = materialize(edges.groupBy("context").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SUPPORT), "pii-contexts")
     seeds = c.where(F.col("known").isNotNull()).groupBy("inst").agg(F.min("known").alias("kind")).withColumn("score", F.lit(1.0))
     seeds = materialize(seeds, "pii-seeds")
-    shape = F.lit(False)
+    shape, others = F.lit(False), F.lit(None)
     for kind in KINDS:
         shape = shape | ((F.col("kind") == kind) & F.col("inst").rlike(SHAPES[kind]))
+        others = F.when(F.col("kind") == kind, F.col(f"not_{kind}")).otherwise(others)
+    against = [F.sum(F.coalesce(F.col("kind") != kind, ~F.col("inst").rlike(SHAPES[kind])).cast("int")).alias(f"not_{kind}") for kind in KINDS]
+    size = edges.join(seeds, "inst", "left").groupBy("context").agg(F.count("*").alias("n"), *against).where(F.col("n") >= MIN_SUPPORT)
+    size = materialize(size, "pii-contexts")
     scores, taken = seeds, None
-    for _ in range(ROUNDS):
+    while True:
         trusted = edges.join(scores, "inst").groupBy("context", "kind").agg(F.sum("score").alias("hit"))
-        trusted = trusted.where(F.col("hit") >= MIN_SUPPORT).join(size, "context").withColumn("confidence", F.col("hit") / F.col("n")).where(F.col("confidence") >= MIN_CONFIDENCE)
+        trusted = trusted.where(F.col("hit") >= MIN_SUPPORT).join(size, "context").withColumn("confidence", F.col("hit") / (F.col("hit") + others)).where(F.col("confidence") >= MIN_CONFIDENCE)
         doubt = F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))
         fresh = edges.join(trusted.select("context", "kind", "confidence"), "context").groupBy("inst", "kind").agg((1 - doubt).alias("score"))
         fresh = fresh.where(shape & (F.col("score") >= ACCEPT)).groupBy("inst").agg(F.max(F.struct("score", "kind")).alias("b")).select("inst", "b.kind", "b.score")
-        fresh = materialize(fresh.join(seeds.select("inst"), "inst", "left_anti"), "pii-taken")
-        n = fresh.count()
-        if not n or (taken is not None and n == taken.count()):
-            taken = fresh if n else taken
+        fresh = materialize(fresh.join(scores.select("inst"), "inst", "left_anti"), "pii-taken")
+        if fresh.isEmpty():
             break
-        taken, scores = fresh, seeds.unionByName(fresh)
+        taken = fresh if taken is None else materialize(taken.unionByName(fresh), "pii-taken")
+        scores = materialize(scores.unionByName(fresh), "pii-scores")
     if taken is None:
         return None
     return c.where(~F.col("blocked")).join(taken.select("inst", "kind"), "inst").select("doc_id", "th", "kind", "s", "e").distinct()
