@@ -419,6 +419,16 @@ def conflict_check(spark, d):
     return write.conflicts(m, v, tables.probe(spark, d)[1]).select("id", "version")
 
 
+# The SQL of conflict_check stages 101 versions at any size; here all versions after the probe transaction are staged against what came between half of it and it.
+
+@query("conflict_check_all", f"""{_ALL}, m AS (SELECT id, version, valid_from, valid_to, tombstone FROM av WHERE tx_time > {_TX})
+ SELECT id, version FROM m WHERE EXISTS (SELECT 1 FROM av c WHERE c.tx_time > {_TX} // 2 AND c.tx_time <= {_TX} AND c.id = m.id AND (m.tombstone OR c.tombstone OR (m.valid_from < c.valid_to AND c.valid_from < m.valid_to)))""")
+def conflict_check_all(spark, d):
+    v, t = tables.activity(spark, d).vertices, tables.probe(spark, d)[1]
+    m = v.where(F.col("tx_time") > t).select("id", "version", "valid_from", "valid_to", "tombstone")
+    return write.conflicts(m, v.where(F.col("tx_time") <= t), t // 2).select("id", "version")
+
+
 @query("ingest_idempotent", "SELECT event_id AS item, user_id AS user_id FROM events WHERE event_id % 5 <> 0 AND event_type <> 'error' UNION SELECT event_id, user_id FROM events WHERE event_id % 5 = 0")
 def ingest_idempotent(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("item"), "user_id", "event_type")
