@@ -8,12 +8,18 @@ start are known, the token is final. The transducer merges a window of bounded s
 the tokens that are final, and goes on from the first one that is not. It holds one window,
 however long the input.
 
-Speed. Pre-tokens are cut by numpy over the code points of a batch. Each distinct one is
-merged once, in lockstep with others of like length, and kept in a bounded memo under a
-64-bit hash; those longer than LONG bytes go through the transducer alone, unkept.
+Speed. Pre-tokens are cut by numpy over the code points of a batch. Equal ones are brought
+together by a hash and then compared character by character, so that a clash of hashes never
+gives one the ids of another. Each distinct one is merged once, in lockstep with others of like
+length, and kept in a bounded memo under its characters; those longer than LONG bytes go
+through the transducer alone, unkept.
 
 Ids equal those of the tokenizers library for byte-level files with or without an end-of-word
-suffix. Null or empty text: no ids. Added tokens in a text become their ids.
+suffix. Null or empty text: no ids. Added tokens in a text become their ids. Very long texts: a
+text is cut in pre-tokens whole, and a pre-token of any length takes one window of memory. Repeated
+rows and ids: each row gets its own result, the same for equal texts. Empty table: no rows. Other
+columns, whatever their names, are not read. There are no ties: the merge of least rank, then the
+leftmost, is always one.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ from tempora.llm.sorted_hash import Finder
 #: Bytes of a pre-token beyond which it goes through the transducer's windows.
 LONG = 48
 #: Pre-tokens that a worker remembers at most.
-MEMO = 400_000
+MEMO = 300_000
 #: Characters that are cut into pre-tokens at a time; one text is never split here.
 SLICE = 1 << 19
 
@@ -323,12 +329,37 @@ def pretoken_starts(x: np.ndarray, first: np.ndarray, spaced: bool) -> tuple[np.
     return np.flatnonzero(mark), cls
 
 
+def distinct(x: np.ndarray, text: str, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A run of each kind among the runs of code points x from start to end, and the kind of every run.
+
+    h is a hash of each run. Runs of one hash are compared with the first of them; those that differ are told apart by their characters.
+    """
+    _, where, kind = np.unique(h, return_index=True, return_inverse=True)
+    size, first = end - start, where[kind]
+    same = size == size[first]
+    check = np.flatnonzero(same & (first != np.arange(len(first))))
+    mine, last = expand(x, start[check], size[check])
+    its, _ = expand(x, start[first[check]], size[check])
+    differ = np.flatnonzero(mine != its)
+    same[check[np.searchsorted(last, differ, side="right")]] = False
+    if not same.all():
+        more: dict[str, int] = {}
+        extra = []
+        for i in np.flatnonzero(~same).tolist():
+            k = more.setdefault(text[start[i] : end[i]], len(where) + len(more))
+            if k == len(where) + len(extra):
+                extra.append(i)
+            kind[i] = k
+        where = np.append(where, extra)
+    return where, kind
+
+
 class Encoder:
     """Texts to ids in the way of one tokenizer file."""
 
     def __init__(self, table: Table):
         self.table = table
-        self.memo: dict[int, bytes] = {}
+        self.memo: dict[str, bytes] = {}
 
     def _normal(self, text: str) -> str:
         """For files with end-of-word marks, which lower case: what numpy cannot do by code point."""
@@ -387,23 +418,20 @@ class Encoder:
         sums = np.concatenate([[np.uint64(0)], np.cumsum(v)])
         h = (sums[end] - sums[start]) * _powers[1][start]
         h ^= (h >> np.uint64(31)) ^ ((end - start).astype(np.uint64) << np.uint64(50))
-        kinds, where, inverse = np.unique(h, return_index=True, return_inverse=True)
+        text = x.tobytes().decode("utf-32-le", "surrogatepass") if self.table.suffixed else joined
+        where, inverse = distinct(x, text, start, end, h)
+        kinds = [text[a:b] for a, b in zip(start[where].tolist(), end[where].tolist())]
         memo = self.memo
-        found = list(map(memo.get, kinds.tolist()))
+        found = list(map(memo.get, kinds))
         missing = [i for i, f in enumerate(found) if f is None]
         if missing:
-            m = where[missing]
-            lo, hi = start[m].tolist(), end[m].tolist()
-            if self.table.suffixed:
-                words = [x[a:b].tobytes().decode("utf-32-le").encode() for a, b in zip(lo, hi)]
-            else:
-                words = [joined[a:b].encode() for a, b in zip(lo, hi)]
+            words = [kinds[i].encode("utf-8", "surrogatepass") for i in missing]
             if len(memo) + len(words) > MEMO:
                 memo.clear()
             for i, w, ids in zip(missing, words, self.table.lockstep(words)):
                 found[i] = ids
-                if len(w) <= LONG:
-                    memo[int(kinds[i])] = ids
+                if len(w) <= LONG and len(memo) < MEMO:
+                    memo[kinds[i]] = ids
         length = np.array([len(f) for f in found], dtype=np.int64) >> 2
         flat = np.frombuffer(b"".join(found), dtype=np.int32)
         ids, last = expand(flat, (np.cumsum(length) - length)[inverse], length[inverse])

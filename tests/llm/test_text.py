@@ -208,3 +208,43 @@ def test_long_chain_and_plain_tables(spark, nothing):
     assert chat.op9_chat(spark, nothing).count() == 0
     plain = chat.op9_chat(spark, "/root/testdata/sf0.001")
     assert plain.count() == spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").count()
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_of_one_polynomial_hash_are_told_apart(pair):
+    """Words that collide under every polynomial hash with an odd base modulo 2**64, in one batch and across batches."""
+    tok, own = pair
+    texts = [" ".join(thue_morse(n, w) for w in ("ab", "ba", "AB", "xy")) for n in (512, 1024, 2048, 4096)]
+    texts += [thue_morse(1024, "ab"), thue_morse(1024, "ba"), thue_morse(1024, "ab")]
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert [i.tolist() for i in own.encode(texts)] == want
+    assert [own.encode([t])[0].tolist() for t in texts] == want
+
+
+@pytest.mark.parametrize("spread", [1, 3, 50])
+def test_pre_tokens_of_any_clashing_hash(pair, spread):
+    """With a hash of few values every pre-token clashes; runs are still told apart."""
+    x = np.frombuffer("".join(random.Random(spread).choice("abc") for _ in range(600)).encode("utf-32-le"), dtype=np.uint32)
+    text = x.tobytes().decode("utf-32-le")
+    start = np.unique(np.random.default_rng(spread).integers(0, 600, 220))
+    end = np.append(start[1:], 600)
+    where, kind = bpe.distinct(x, text, start, end, (start % spread).astype(np.uint64))
+    words = [text[a:b] for a, b in zip(start, end)]
+    assert [words[where[k]] for k in kind] == words and len({words[i] for i in where}) == len(set(words))
+
+
+@pytest.mark.parametrize("op, name", [(bpe.op5_bpe, FILES[0]), (packing.op7_packing, FILES[1])])
+def test_clashing_words_through_the_queries(spark, tables, op, name):
+    tok = pytest.importorskip("tokenizers").Tokenizer.from_file(bpe.tokenizer_path(name))
+    texts = [thue_morse(1024, "ab"), thue_morse(1024, "ba"), thue_morse(2048, "ba") + " " + thue_morse(2048, "ab")]
+    d = tables(documents=spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1))
+    got = {r.doc_id: r for r in op(spark, d).collect()}
+    for i, t in enumerate(texts):
+        ids = tok.encode(t, add_special_tokens=False).ids
+        if name == FILES[0]:
+            assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        else:
+            assert got[i].ids_crc32 == zlib.crc32(np.array([*ids, 2], dtype="<u4").tobytes())
