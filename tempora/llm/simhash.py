@@ -7,13 +7,20 @@ embeddings at Manhattan distance 3 or less differ in at most 3 of 6 bands of seg
 so they share the grid cell of at least one of the 20 choices of 3 bands: a range join
 is a join on equal cells. Survivors of the lower bound are verified on all 64 bits.
 
-Only distinct fingerprints are joined. A cell above CELL_ROWS members is cut in chunks,
-and each pair of chunks is compared in a block of its own, so no task holds an unbounded
-group. A block emits a spanning forest of its links, never the pairs. Connected
-components are found by alternating stars over written tables.
+Only distinct fingerprints are joined. A cell above CELL_ROWS members is not compared as it is:
+the fingerprints of such cells are joined once more by one-bit segments, whose Manhattan distance is
+the Hamming distance itself, on cells of 40 exact bits (5 of 8 bands). So the comparisons that a
+fingerprint takes part in are bounded however many there are, but where thousands of distinct ones
+share those 40 bits; such a cell is cut in chunks, and each pair of chunks is compared in a block
+of its own, so no task holds an unbounded group. A block emits a spanning forest of its links,
+never the pairs. Connected components are found by alternating stars over written tables. The
+fingerprint of a text that stands in more than HOT_ROWS rows is joined to them by broadcast.
 
 Null or empty text: fingerprint zero, which links like any other. Fewer than three words:
-one shingle of the whole sequence. Repeated rows and repeated ids stay separate rows.
+one shingle of the whole sequence. Very long texts: hashed whole, a slice of shingles at a time.
+Repeated rows and repeated ids stay separate rows. Null ids: kept, and never a component's least id
+unless it has no other (then null). Ties: a bit set in exactly half the shingles is 0. Empty table:
+no rows. Extra columns, whatever their names, are not read; one_of_each keeps them as they are.
 """
 
 from __future__ import annotations
@@ -34,10 +41,16 @@ MAX_BITS = 3
 SEED = 42
 #: Bands of two-bit segments: at most MAX_BITS of them can differ.
 BAND_SEGMENTS = (5, 5, 5, 5, 6, 6)
-#: Members of a cell that one block compares; a larger cell is cut.
-CELL_ROWS = 2048
-#: Hot cells to broadcast at most; more are joined by a shuffle.
+#: Bands of single bits for the fingerprints of crowded cells.
+BAND_BITS = (8,) * 8
+#: Members of a cell that one block compares.
+CELL_ROWS = 1024
+#: Crowded cells to broadcast at most; more are joined by a shuffle.
 HOT_CELLS = 65_536
+#: Rows of one fingerprint above which it is broadcast: with n rows, fewer than n / HOT_ROWS are.
+HOT_ROWS = 1 << 20
+#: Rows that links are looked for in at a time.
+STEP = 1 << 16
 
 EVEN = 0x5555555555555555
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
@@ -47,12 +60,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def band_masks() -> list[int]:
+def band_masks(widths: tuple[int, ...] = BAND_SEGMENTS, segment: int = 2) -> list[int]:
+    """The bits of each choice of bands that MAX_BITS differences must leave alone."""
     bands, at = [], 0
-    for n in BAND_SEGMENTS:
-        bands.append(((1 << 2 * n) - 1) << at)
-        at += 2 * n
-    return [_signed(a | b | c) for a, b, c in combinations(bands, len(bands) - MAX_BITS)]
+    for n in widths:
+        bands.append(((1 << segment * n) - 1) << at)
+        at += segment * n
+    return [_signed(sum(some)) for some in combinations(bands, len(bands) - MAX_BITS)]
 
 
 # ---- fingerprints
@@ -190,40 +204,68 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         u, v = _forest(np.cumsum(change), fp)
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)]
+    held: list[list[np.ndarray]] = []
+
+    def joined() -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*held)]
+
+    size = 0
     for b in batches:
         if not b.num_rows:
             continue
         new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        new[2] = new[2].view(np.uint64)
-        cell, block, fp = (np.concatenate(x) for x in zip(held, new))
+        held.append([*new[:2], new[2].view(np.uint64)])
+        size += b.num_rows
+        if size < STEP:
+            continue
+        cell, block, fp = joined()
         last = np.flatnonzero((cell != cell[-1]) | (block != block[-1]))
         cut = int(last[-1]) + 1 if len(last) else 0
         if cut:
             yield emit(cell[:cut], block[:cut], fp[:cut])
-        held = [cell[cut:], block[cut:], fp[cut:]]
-    if len(held[0]):
-        yield emit(*held)
+        held[:] = [[cell[cut:], block[cut:], fp[cut:]]]
+        size = len(cell) - cut
+    if size:
+        yield emit(*joined())
+
+
+def _cells(fps: DataFrame, code: Column, masks: list[int]) -> DataFrame:
+    """fp and cell: one row for each choice of bands."""
+    return fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), code.bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("cell"))
+
+
+def _crowded(cells: DataFrame) -> DataFrame | None:
+    """cell and n of those above CELL_ROWS, to be broadcast where they are few; None if there are none."""
+    hot = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS), "simhash-hot")
+    n = hot.limit(HOT_CELLS + 1).count()
+    return (F.broadcast(hot) if n <= HOT_CELLS else hot) if n else None
+
+
+def _compared(cells: DataFrame) -> DataFrame:
+    """u > v: links within equal cell and block."""
+    small_batches(cells.sparkSession)
+    return cells.select("cell", "block", "fp").repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(Bounded(_link_batches), "u bigint, v bigint")
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Columns u > v: links that join all distinct fingerprints (column fp) within MAX_BITS, as forests of cells."""
-    spark = fps.sparkSession
-    e = embedding(F.col("fp"))
-    cells = fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), e.bitwiseAND(F.lit(m))) for i, m in enumerate(band_masks())])).alias("cell"))
-    hot = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS), "simhash-hot")
-    n_hot = hot.limit(HOT_CELLS + 1).count()
-    if n_hot:
+    one = F.lit(0).cast("bigint")
+    cells = _cells(fps, embedding(F.col("fp")), band_masks())
+    hot = _crowded(cells)
+    if hot is None:
+        return _compared(cells.withColumn("block", one)).distinct()
+    found = _compared(cells.join(hot, "cell", "left_anti").withColumn("block", one))
+    crowd = materialize(cells.join(hot, "cell", "left_semi").select("fp").distinct(), "simhash-crowd")
+    cells = _cells(crowd, F.col("fp"), band_masks(BAND_BITS, 1))
+    hot = _crowded(cells)
+    if hot is None:
+        cells = cells.withColumn("block", one)
+    else:
         parts = F.coalesce(F.ceil(F.col("n") / (CELL_ROWS / 2)), F.lit(1)).cast("bigint")
-        cells = cells.join(F.broadcast(hot) if n_hot <= HOT_CELLS else hot, "cell", "left").withColumn("parts", parts).withColumn("chunk", F.pmod(F.xxhash64("fp"), "parts"))
+        cells = cells.join(hot, "cell", "left").withColumn("parts", parts).withColumn("chunk", F.pmod(F.xxhash64("fp"), "parts"))
         blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least("chunk", j) * F.col("parts") + F.greatest("chunk", j))
         cells = cells.select("cell", F.explode(blocks).cast("bigint").alias("block"), "fp")
-    else:
-        cells = cells.select("cell", F.lit(0).cast("bigint").alias("block"), "fp")
-    small_batches(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    found = cells.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(Bounded(_link_batches), "u bigint, v bigint")
-    return found.distinct()
+    return found.unionByName(_compared(cells)).distinct()
 
 
 # ---- groups
@@ -231,13 +273,18 @@ def links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id, fp, text_hash and component_id, the least id of the fingerprint's component."""
     rows = materialize(with_fingerprint(docs, text_col, [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")]), "simhash-rows")
-    fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-fps")
+    fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash-fps")
     stars = components(links(fps.select("fp")))
     labels = stars.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
     linked = labels.join(fps, "fp")
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = fps.join(labels, "fp", "left").join(roots, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(of_fp, "fp")
+    of_fp = materialize(fps.join(labels, "fp", "left").join(roots, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n"), "simhash-groups")
+    hot = of_fp.where(F.col("n") > HOT_ROWS).select("fp", "component_id", F.lit(True).alias("hot"))
+    if hot.isEmpty():
+        return rows.join(of_fp.drop("n"), "fp")
+    marked = rows.join(F.broadcast(hot), "fp", "left")
+    rest = marked.where("hot is null").select(*rows.columns).join(of_fp.drop("n"), "fp")
+    return marked.where("hot").select(*rest.columns).unionByName(rest)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

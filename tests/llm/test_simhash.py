@@ -31,8 +31,32 @@ def test_groups_equal_brute_force(spark, tables):
 
 
 def test_hot_cells_are_cut_and_lose_nothing(spark, tables, monkeypatch):
-    monkeypatch.setattr(simhash, "CELL_ROWS", 8)
-    check(spark, tables, near_copies(random.Random(4), 80))
+    """Crowded cells of segments, and crowded cells of bits that are cut in chunks; none of either."""
+    rows = near_copies(random.Random(4), 80)
+    for limit in (8, 40):
+        monkeypatch.setattr(simhash, "CELL_ROWS", limit)
+        check(spark, tables, rows)
+
+
+def test_rows_of_mass_copies_are_joined_by_broadcast(spark, tables, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_ROWS", 5)
+    rows = near_copies(random.Random(6), 12)
+    check(spark, tables, rows + [(900 + i, rows[0][1]) for i in range(20)] + [(None, None)] * 9)
+
+
+def test_random_fingerprints_meet_few_others():
+    """Of 10**6 random fingerprints each is compared with a few in all its cells; chance neighbours grow a cell only up to CELL_ROWS."""
+    import numpy as np
+
+    fp = np.random.default_rng(8).integers(0, 1 << 63, 10**6, dtype=np.uint64) * np.uint64(2) + np.random.default_rng(9).integers(0, 2, 10**6, dtype=np.uint64)
+    emb, met = simhash._embed(fp), 0
+    for m in simhash.band_masks():
+        _, n = np.unique(emb & np.uint64(m & (1 << 64) - 1), return_counts=True)
+        assert n.max() <= simhash.CELL_ROWS
+        met += int((n * (n - 1) // 2).sum())
+    assert met < 8 * len(fp)
+    fine = [np.unique(fp & np.uint64(m & (1 << 64) - 1), return_counts=True)[1] for m in simhash.band_masks(simhash.BAND_BITS, 1)]
+    assert len(fine) == 56 and sum(int((n * (n - 1) // 2).sum()) for n in fine) < len(fp) / 10
 
 
 def test_odd_and_empty_tables(spark, odd, nothing):
