@@ -5,20 +5,25 @@ passage; passages and their single lines are lower-cased, their white space is m
 they are hashed. A message's own text (level 0, without lines that announce a quote) is hashed
 by line, by paragraph and as a whole. A quotation belongs to the latest earlier message of its
 conversation that has one of its hashes; a message answers the one that its outermost level
-links to. Threads follow from the answers: the root is found by doubling steps, and ordering a
-conversation by root_turn, then turn, gives every reply after what it answers.
+links to. Threads follow from the answers: the root is found by doubling steps, and a message's
+position is its place in the reply order of its thread, by turn, so that every reply comes after what
+it answers. Positions come from a sort by ranges, so that a thread of any length is not one task's work.
 
 The latest earlier message is found in blocks of BLOCK turns: a window within the block, and one
 over the blocks' last turns, so that no window holds all turns of a very common passage.
 
-DataFrame expressions only. Null text: empty, no quotes. Rows of one conversation and turn are
-one message to those that quote it; each row comes back. Null conv_id or turn: never linked.
+DataFrame expressions only. Null text: empty, no quotes. Very long texts: lines and passages are cut
+once, in linear time. Rows of one conversation and turn, repeated rows too, are one message to those
+that quote it and have one position; each row comes back. Null conv_id or turn: never linked, position
+0. Ties: of several messages with the quoted passage the latest, of several links the outermost
+level's, then the latest. Empty table: no rows. Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tempora.functions.lineage import numbered
 from tempora.llm.common import materialize, table
 
 BLOCK = 512
@@ -41,19 +46,17 @@ def _lines(text: Column) -> Column:
 
 def _passages(lines: Column) -> Column:
     """Runs of lines of one level, blank lines between them: array of (level, body)."""
-    kind = "struct<runs:array<struct<level:int,body:string>>,level:int,body:string>"
-    start = F.struct(F.array().cast("array<struct<level:int,body:string>>").alias("runs"), F.lit(-1).alias("level"), F.lit("").alias("body")).cast(kind)
+    blank = lambda x: F.trim(x["body"]) == ""
+    opens = F.filter(F.transform(lines, lambda x, i: F.when((i > 0) & (x["level"] == F.get(lines, i - 1)["level"]) & ~blank(x), F.lit(None)).otherwise(i)), lambda i: i.isNotNull())
 
-    def closed(acc: Column) -> Column:
-        return F.when(F.trim(acc["body"]) == "", acc["runs"]).otherwise(F.concat(acc["runs"], F.array(F.struct(acc["level"].alias("level"), acc["body"].alias("body")))))
+    def run(starts: Column) -> Column:
+        def one(at: Column, k: Column) -> Column:
+            part = F.slice(lines, at + 1, F.coalesce(F.get(starts, k + 1), F.size(lines)) - at)
+            return F.struct(F.get(lines, at)["level"].alias("level"), F.array_join(F.transform(part, lambda x: x["body"]), " ").alias("body"))
 
-    def step(acc: Column, x: Column) -> Column:
-        joins = (x["level"] == acc["level"]) & (F.trim(x["body"]) != "")
-        on = F.struct(acc["runs"].alias("runs"), acc["level"].alias("level"), F.concat(acc["body"], F.lit(" "), x["body"]).alias("body"))
-        off = F.struct(closed(acc).alias("runs"), x["level"].alias("level"), x["body"].alias("body"))
-        return F.when(joins, on).otherwise(off).cast(kind)
+        return F.transform(starts, one)
 
-    return F.aggregate(lines, start, step, closed)
+    return F.element_at(F.transform(F.array(opens), run), 1)
 
 
 def parse(messages: DataFrame) -> DataFrame:
@@ -65,7 +68,8 @@ def parse(messages: DataFrame) -> DataFrame:
     rows = rows.withColumn("own", own_lines)
     body = F.array_join(F.transform("own", lambda x: x["body"]), "\n")
     quotes = F.filter(F.concat("lines", _passages(F.col("lines"))), lambda x: (x["level"] > 0) & (_even(x["body"]) != ""))
-    hashed = F.array_distinct(F.transform(quotes, lambda x: F.struct(x["level"].alias("level"), F.xxhash64(_even(x["body"])).alias("h"))))
+    hashed = F.array_distinct(F.transform(quotes, lambda x: F.concat_ws(":", x["level"].cast("string"), F.xxhash64(_even(x["body"])).cast("string"))))  # as strings, which are told apart by hashing
+    hashed = F.transform(hashed, lambda x: F.struct(F.substring_index(x, ":", 1).cast("int").alias("level"), F.substring_index(x, ":", -1).cast("bigint").alias("h")))
     own = F.concat(F.transform("own", lambda x: x["body"]), F.transform(_passages(F.col("own")), lambda x: x["body"]), F.array(body))
     own = F.array_distinct(F.transform(F.filter(F.transform(own, _even), lambda x: x != ""), lambda x: F.xxhash64(x)))
     none = F.array().cast("array<struct<level:int,h:bigint>>")
@@ -101,19 +105,27 @@ def _threads(answers: DataFrame) -> DataFrame:
             return answers.join(steps.select("conv_id", "turn", F.col("up").alias("root_turn"), "depth"), ["conv_id", "turn"])
 
 
+def _positions(threads: DataFrame) -> DataFrame:
+    """conv_id, turn, position: the place of each message of a thread of two or more, the root's being 0."""
+    members = threads.select("conv_id", "root_turn", "turn").unionByName(threads.select("conv_id", "root_turn", F.col("root_turn").alias("turn"))).distinct()
+    order = numbered(members, [F.col("conv_id"), F.col("root_turn"), F.col("turn")], "n")
+    first = order.groupBy("conv_id", "root_turn").agg(F.min("n").alias("first"))
+    return order.join(first, ["conv_id", "root_turn"]).select("conv_id", "turn", (F.col("n") - F.col("first")).alias("position"))
+
+
 def link(messages: DataFrame) -> DataFrame:
-    """One row per message: what it answers, its thread and its text without quotes."""
+    """One row per message: what it answers, its thread, its place in it and its text without quotes."""
     parsed = materialize(parse(messages.select("conv_id", "turn", "role", "text").withColumn("turn", F.col("turn").cast("bigint"))), "chat-parsed")
     quotes = parsed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.h").where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).distinct()
     counted = parsed.withColumn("n_quotes", F.size("quotes").cast("bigint"))
     if quotes.isEmpty():
         none = F.lit(None).cast("bigint")
-        return counted.select("conv_id", "turn", "role", none.alias("parent_turn"), F.col("turn").alias("root_turn"), F.lit(0).cast("bigint").alias("depth"), "n_quotes", F.lit(0).cast("bigint").alias("n_linked"), "text")
+        return counted.select("conv_id", "turn", "role", none.alias("parent_turn"), F.col("turn").alias("root_turn"), F.lit(0).cast("bigint").alias("depth"), F.lit(0).cast("bigint").alias("position"), "n_quotes", F.lit(0).cast("bigint").alias("n_linked"), "text")
     links = _links(parsed, quotes).groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("l"), "source_turn")).alias("b"), F.count("*").alias("n_linked"))
     answers = materialize(links.select("conv_id", "turn", F.col("b.source_turn").alias("parent_turn"), "n_linked"), "chat-answers")
-    threads = _threads(answers)
-    out = counted.join(threads, ["conv_id", "turn"], "left")
-    return out.select("conv_id", "turn", "role", "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"), "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"), "text")
+    threads = materialize(_threads(answers), "chat-threads")
+    out = counted.join(threads, ["conv_id", "turn"], "left").join(_positions(threads), ["conv_id", "turn"], "left")
+    return out.select("conv_id", "turn", "role", "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"), F.coalesce("position", F.lit(0)).cast("bigint").alias("position"), "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"), "text")
 
 
 def op9_chat(spark, sf_dir: str) -> DataFrame:

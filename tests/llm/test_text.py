@@ -201,6 +201,44 @@ def test_quotes_become_threads(spark, monkeypatch):
     assert len(got[1, 1]) == 2 and got[3, 0] == [(None, 0, 0, "")] and sum(map(len, got.values())) == len(rows)
 
 
+def test_positions_follow_the_turns_of_a_thread(spark):
+    rows = [(1, 5, "user", "first question here"), (1, 9, "assistant", "> first question here\nan answer"), (1, 12, "user", "> an answer\nthanks"), (1, 7, "assistant", "> first question here\nother answer"), (1, 12, "user", "> an answer\nthanks"), (1, 8, "user", "unrelated"), (2, 5, "user", "first question here")]
+    got = sorted((r.conv_id, r.root_turn, r.position, r.turn) for r in chat.link(spark.createDataFrame(rows, TALK)).collect())
+    assert got == [(1, 5, 0, 5), (1, 5, 1, 7), (1, 5, 2, 9), (1, 5, 3, 12), (1, 5, 3, 12), (1, 8, 0, 8), (2, 5, 0, 5)]
+
+
+def plain_passages(text):
+    """Runs of lines of one quote level, cut at blank lines: (level, body) by plain code."""
+    out = []
+    for line in re.split(r"\r?\n", text):
+        m = re.match(r"\s{0,3}((?:>\s?)+)", line)
+        level, body = (m[1].count(">"), line[m.end() :]) if m else (0, line)
+        if out and out[-1][0] == level and body.strip(" "):
+            out[-1][1] += " " + body
+        else:
+            out.append([level, body])
+    return [(a, re.sub(r"\s+", " ", b).strip(" ").lower()) for a, b in out if b.strip(" ")]
+
+
+def test_passages_equal_plain_code(spark):
+    rng = random.Random(13)
+    texts = ["\n".join(rng.choice(["", "> ", ">> ", "> > ", "  "]) + rng.choice(["", " ", "Aa b", "c", ">"]) for _ in range(rng.randint(1, 14))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", chat._passages(chat._lines(F.col("t"))).alias("p"))
+    for r in df.collect():
+        got = [(x.level, re.sub(r"\s+", " ", x.body).strip(" ").lower()) for x in r.p if x.body.strip(" ")]
+        assert got == plain_passages(texts[r.k]), repr(texts[r.k])
+
+
+def test_long_messages_and_other_columns(spark):
+    text = "\n".join(f"> quoted line {i}" if i % 2 else f"own line {i}" for i in range(40_000))
+    rows = [(1, 0, "user", "quoted line 1"), (1, 1, "user", text)]
+    talk = spark.createDataFrame(rows, TALK)
+    for c in ("quotes", "passages", "lines", "own", "h", "level", "position", "n", "block"):
+        talk = talk.withColumn(c, F.lit("clash"))
+    got = {r.turn: r for r in chat.link(talk).collect()}
+    assert got[1].n_quotes == 20_000 and got[1].parent_turn == 0 and got[1].position == 1 and got[1].n_linked == 1
+
+
 def test_long_chain_and_plain_tables(spark, nothing):
     rows = [(1, i, "user", (f"> line {i - 1}\n" if i else "") + f"line {i}") for i in range(70)]
     got = {r.turn: (r.parent_turn, r.root_turn, r.depth) for r in chat.link(spark.createDataFrame(rows, TALK)).collect()}
