@@ -12,7 +12,9 @@ the block and its thumbnail is the payload. Its Huffman table gives each DC cate
 c a code of 9 - c bits, so every block takes 10 bits; restart intervals of 64 blocks
 are 80 bytes. Payloads beyond one frame's 65,535 pixels a side take several frames in a row.
 
-Null text: empty. Empty text: 64 zero bytes. Damaged media: a ValueError that names the cause.
+Null text: empty. Empty text: 64 zero bytes. Very long texts: as many frames as they need, all of which
+the feature names by size and hash. Repeated rows: equal values. Empty table: no rows. Extra columns,
+whatever their names, are not read. There are no ties. Damaged media: a ValueError that names the cause.
 """
 
 from __future__ import annotations
@@ -359,7 +361,7 @@ def store(payloads: list[bytes]) -> list[bytes]:
 
 
 def read(media: list[bytes]) -> list[tuple[bytes, int, int, str]]:
-    """For each stored form: its payload, the first frame's width and height, and the thumbnail hashes."""
+    """For each stored form: its payload, the first frame's width and height, and every frame's size and thumbnail hash."""
     parts: list[list[tuple[bytes, int, int, str]]] = [[] for _ in media]
     held: list[tuple[int, Frame]] = []
     size = 0
@@ -383,7 +385,7 @@ def read(media: list[bytes]) -> list[tuple[bytes, int, int, str]]:
                 size = 0
     if held:
         flush()
-    return [(b"".join(x[0] for x in p), p[0][1], p[0][2], ".".join(x[3] for x in p)) for p in parts]
+    return [(b"".join(x[0] for x in p), p[0][1], p[0][2], ".".join(f"{w}x{h}:{t}" for _, w, h, t in p)) for p in parts]
 
 
 _DIGEST = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, width int, height int"
@@ -407,7 +409,7 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             pa.array([zlib.crc32(p[-64:]) for p, *_ in found], pa.int64()),
             pa.array([len(m) for m in media], pa.int64()),
             pa.array([sha(m) for m in media], pa.string()),
-            pa.array([f"{w}x{h}:{t}" for _, w, h, t in found], pa.string()),
+            pa.array([f for *_, f in found], pa.string()),
             pa.array([w for _, w, _, _ in found], pa.int32()),
             pa.array([h for _, _, h, _ in found], pa.int32()),
         ]

@@ -8,7 +8,9 @@ bin with room, found in a tree whose nodes hold the most room below them, in log
 A group leaves few bins part full, about one sequence of padding in thousands of pieces, so no
 piece is cut a second time to fill gaps.
 
-Null or empty text: END alone. Repeated rows and ids are packed as often as they stand.
+Null or empty text: END alone. Very long texts are cut in as many pieces as they need. Repeated rows
+and ids are packed as often as they stand. Ties: of pieces of equal length the one of lesser hash goes
+first. Empty table: no rows. Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -11,8 +11,11 @@ Adagrad fits it on the logistic loss with that shrinkage; a logistic line fitted
 aside, weighted back to the labels' true shares, turns its output into a probability.
 
 Trained on a bounded sample: LABELLED rows of each label outside the held-out fold (crc32 of the
-id modulo 3 is 1), chosen by a hash of the id; whole texts. Null or empty text: no terms, the
-bias alone. Rows whose label is not 0 or 1 are not used. No labelled rows: score 0.
+id modulo 3 is 1), chosen by a hash of the id; whole texts, each at most BUCKETS columns long on the
+driver whatever its length. Null or empty text: no terms, the bias alone. Very long texts are read
+whole. Rows whose label is not 0 or 1 are not used; a document with both labels counts as toxic. No
+labelled rows: score 0. Ties: a score at THRESHOLD is predicted 1. Repeated rows are scored alike.
+Empty table: no rows. Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
