@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tempora.functions.lineage import materialize
+from tempora.functions.lineage import materialize, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     was = mark(edges)
     while was[0]:
-        edges = materialize(_star(_star(edges, True), False), "stars")
+        old, edges = edges, materialize(_star(_star(edges, True), False), "stars")
+        release(old)
         now = mark(edges)
         if now == was:
             break

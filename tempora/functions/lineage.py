@@ -1,16 +1,20 @@
-"""Written intermediates: a loop's state goes to the shared folder, which survives lost executors."""
+"""Written intermediates: a loop's state goes to the shared folder, which survives lost executors.
+
+What a loop has written anew it releases, so that a loop of any length keeps a few rounds of its state.
+All that is left goes when the driver's process ends.
+"""
 
 from __future__ import annotations
 
 import atexit
 import os
-import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-_own_dirs: list[str] = []
+#: Folders that were written and not yet released, with the session that wrote them.
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,11 +35,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if path.startswith("file:") and spark.sparkContext.master.startswith("local"):
-        if not _own_dirs:
-            atexit.register(lambda: [shutil.rmtree(p, ignore_errors=True) for p in _own_dirs])
-        _own_dirs.append(path.removeprefix("file://"))
-    return spark.read.schema(df.schema).parquet(path)
+    if not _written:
+        atexit.register(_remove_all)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Remove the files of frames that materialize() gave and that nothing will read again."""
+    for f in frames:
+        path = getattr(f, "written_path", None)
+        if path in _written:
+            _remove(path, _written.pop(path))
+
+
+def _remove(path: str, spark: SparkSession) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration() if spark._jsc.sc().isStopped() else spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _remove_all() -> None:
+    for path, spark in _written.items():
+        try:
+            _remove(path, spark)
+        except Exception:  # the JVM may be gone before this process; what it shared stays for its owner to clear
+            return
 
 
 def numbered(df: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:

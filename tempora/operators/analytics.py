@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tempora.functions.components import components
-from tempora.functions.lineage import materialize, numbered
+from tempora.functions.lineage import materialize, numbered, release
 
 
 class AnalyticsError(ValueError):
@@ -79,7 +79,8 @@ def bfs(g: Projection, source: int, max_depth: int = 64) -> DataFrame:
         if not size:
             break
         n += size
-        done = materialize(done.unionByName(layer), "bfs")
+        old, done = done, materialize(done.unionByName(layer), "bfs")
+        release(old)
     return done.select("position", "vertex", "depth")
 
 
@@ -112,7 +113,7 @@ def _relax(g: Projection, start: DataFrame, keys: list[str], weight: str | None)
     e = _weights(g.edges, weight)
     e = e.groupBy("src", "dst").agg(F.min("w").alias("w"), F.max((F.col("w").isNull()).cast("int")).alias("none"), F.max((F.isnan("w") | (F.abs("w") == math.inf) | (F.col("w") < 0)).cast("int")).alias("bad"))
     e = materialize(e, "relax-edges")
-    best = frontier = materialize(start, "relax")
+    best = frontier = both = materialize(start, "relax")
     while True:
         scanned = frontier.join(e, frontier["vertex"] == e["src"])
         bad = scanned.agg(F.max("none"), F.max("bad")).first()
@@ -122,8 +123,9 @@ def _relax(g: Projection, start: DataFrame, keys: list[str], weight: str | None)
             raise AnalyticsError("INVALID-PROPERTY", "a weight is negative or not finite")
         found = scanned.select(*keys, F.col("dst").alias("vertex"), (F.col("distance") + F.col("w")).alias("distance"))
         found = found.groupBy(*keys, "vertex").agg(F.min("distance").alias("new"))
-        both = best.join(found, [*keys, "vertex"], "full_outer")
-        both = materialize(both.select(*keys, "vertex", F.least("distance", "new").alias("distance"), (F.col("distance").isNull() | (F.col("new") < F.col("distance"))).alias("changed")), "relax")
+        met = best.join(found, [*keys, "vertex"], "full_outer")
+        old, both = both, materialize(met.select(*keys, "vertex", F.least("distance", "new").alias("distance"), (F.col("distance").isNull() | (F.col("new") < F.col("distance"))).alias("changed")), "relax")
+        release(old)
         best, frontier = both.drop("changed"), both.where("changed").drop("changed")
         if frontier.isEmpty():
             return best
@@ -156,12 +158,13 @@ def weakly_connected_components(g: Projection) -> DataFrame:
 
 def _spread(nodes: DataFrame, edges: DataFrame, by: str) -> DataFrame:
     """nodes (id, by and label) with the least label that reaches each along edges (a, b) whose ends agree in by."""
-    state = materialize(nodes, "spread")
+    state = new = materialize(nodes, "spread")
     while True:
         got = edges.join(state.select(F.col("id").alias("a"), F.col("label"), F.col(by).alias("_ba")), "a")
         got = got.join(state.select(F.col("id").alias("b"), F.col(by).alias("_bb")), "b").where(F.col("_ba") == F.col("_bb")).groupBy(F.col("b").alias("id")).agg(F.min("label").alias("new"))
-        new = state.join(got, "id", "left")
-        new = materialize(new.select("id", by, F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("changed")), "spread")
+        met = state.join(got, "id", "left")
+        old, new = new, materialize(met.select("id", by, F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("changed")), "spread")
+        release(old)
         state = new.drop("changed")
         if new.where("changed").isEmpty():
             return state
@@ -205,14 +208,16 @@ def page_rank(g: Projection, iterations: int = 20, damping: float = 0.85) -> Dat
     degree = g.edges.groupBy("src").agg(F.count("*").alias("degree"))
     nodes = materialize(g.vertices.select("id").join(degree, F.col("id") == F.col("src"), "left").select("id", "degree"), "rank-nodes")
     pairs = materialize(pairs.join(degree, "src").select("src", "dst", (F.col("k") / F.col("degree")).alias("share")), "rank-edges")
-    rank = nodes.withColumn("r", F.lit(1.0 / n))
+    rank, kept = nodes.withColumn("r", F.lit(1.0 / n)), None
     for i in range(iterations):
         dangling = rank.agg(F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("r"))), F.lit(0.0)).alias("d"))
         got = pairs.join(rank.select(F.col("id").alias("src"), "r"), "src").groupBy("dst").agg(F.sum(F.col("share") * F.col("r")).alias("got"))
         rank = nodes.join(got, nodes["id"] == got["dst"], "left").crossJoin(F.broadcast(dangling))  # one row
         rank = rank.select("id", "degree", (F.lit((1 - damping) / n) + damping * F.col("d") / n + damping * F.coalesce("got", F.lit(0.0))).alias("r"))
         if i % 4 == 3 or i == iterations - 1:
-            rank = materialize(rank, "rank")
+            old, kept = kept, materialize(rank, "rank")
+            rank = kept
+            release(old)
     total = rank.agg(F.sum("r")).first()[0]
     return rank.select(F.col("id").alias("vertex"), (F.col("r") / (total or 1.0)).alias("score"))
 
@@ -301,11 +306,13 @@ def k_core(g: Projection) -> DataFrame:
     """vertex, core: the h-index of the neighbours' values, from the degrees down to the fixpoint, which is the core number."""
     u = materialize(_undirected(g), "core-edges")
     state = materialize(g.vertices.select("id").join(u.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("core")), "id", "left").na.fill(0, ["core"]), "core")
+    new = state
     while True:
         near = u.join(state.select(F.col("id").alias("b"), "core"), "b").groupBy("a", "core").agg(F.count("*").alias("n"))
         at_least = F.sum("n").over(W.partitionBy("a").orderBy(F.desc("core")))
         h = near.withColumn("m", F.least("core", at_least)).groupBy(F.col("a").alias("id")).agg(F.max("m").alias("h"))
-        new = materialize(state.join(h, "id", "left").select("id", F.least("core", F.coalesce("h", F.lit(0))).alias("core"), (F.col("h") < F.col("core")).alias("changed")), "core")
+        old, new = new, materialize(state.join(h, "id", "left").select("id", F.least("core", F.coalesce("h", F.lit(0))).alias("core"), (F.col("h") < F.col("core")).alias("changed")), "core")
+        release(old)
         state = new.drop("changed")
         if new.where("changed").isEmpty():
             return state.select(F.col("id").alias("vertex"), F.col("core").cast("int").alias("core"))
@@ -321,11 +328,12 @@ def label_propagation(g: Projection, iterations: int = 20) -> DataFrame:
     """vertex, community: each round every vertex takes its neighbours' commonest label, the smallest of equals."""
     g.rounds(iterations)
     u = materialize(_undirected(g), "labels")
-    state = materialize(g.vertices.select("id", F.col("id").alias("label")), "labels")
+    state = new = materialize(g.vertices.select("id", F.col("id").alias("label")), "labels")
     for _ in range(iterations):
         votes = u.join(state.select(F.col("id").alias("b"), "label"), "b").groupBy("a", "label").agg(F.count("*").alias("n"))
         best = votes.groupBy(F.col("a").alias("id")).agg(F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("x")).select("id", (-F.col("x.l")).alias("new"))
-        new = materialize(state.join(best, "id", "left").select("id", F.coalesce("new", "label").alias("label"), (F.col("new") != F.col("label")).alias("changed")), "labels")
+        old, new = new, materialize(state.join(best, "id", "left").select("id", F.coalesce("new", "label").alias("label"), (F.col("new") != F.col("label")).alias("changed")), "labels")
+        release(old)
         state = new.drop("changed")
         if new.where("changed").isEmpty():
             break
@@ -382,15 +390,16 @@ def _timed(g: Projection, departure: str, arrival: str, start: int, end: int) ->
 def _extremes(g: Projection, at: int, e: DataFrame, begin: int, forward: bool) -> DataFrame:
     """vertex, t: the earliest arrival from a vertex (forward), or the latest departure towards it."""
     near, far, leave, reach = ("src", "dst", "dep", "arr") if forward else ("dst", "src", "arr", "dep")
-    best = frontier = materialize(g.vertices.where(F.col("id") == at).select(F.col("id").alias("vertex"), F.lit(begin).cast("bigint").alias("t")).distinct(), "timed")
+    best = frontier = both = materialize(g.vertices.where(F.col("id") == at).select(F.col("id").alias("vertex"), F.lit(begin).cast("bigint").alias("t")).distinct(), "timed")
     while True:
         usable = F.col(leave) >= F.col("t") if forward else F.col(leave) <= F.col("t")
         found = frontier.join(e, F.col("vertex") == F.col(near)).where(usable)
         found = found.groupBy(F.col(far).alias("vertex")).agg((F.min if forward else F.max)(reach).alias("new"))
-        both = best.join(found, "vertex", "full_outer")
+        met = best.join(found, "vertex", "full_outer")
         better = F.col("new") < F.col("t") if forward else F.col("new") > F.col("t")
-        both = both.select("vertex", (F.least if forward else F.greatest)("t", "new").alias("t"), (F.col("t").isNull() | better).alias("changed"))
-        both = materialize(both, "timed")
+        met = met.select("vertex", (F.least if forward else F.greatest)("t", "new").alias("t"), (F.col("t").isNull() | better).alias("changed"))
+        old, both = both, materialize(met, "timed")
+        release(old)
         best, frontier = both.drop("changed"), both.where("changed").drop("changed")
         if frontier.isEmpty():
             return best
