@@ -47,13 +47,19 @@ class PropertySpec:
 
 @dataclass
 class Graph:
-    """Histories of vertices and edges. Columns: SYSTEM, labels or EDGE_FIELDS, and the declared properties."""
+    """Histories of vertices and edges. Columns: SYSTEM, labels or EDGE_FIELDS, and the declared properties.
+
+    All puts of an edge between two of its deletes have the same ends, so filters on ends go below version resolution. fixed_types and
+    fixed_labels say the same of edges' types and vertices' labels.
+    """
 
     vertices: DataFrame
     edges: DataFrame
     vertex_properties: list[PropertySpec] = field(default_factory=list)
     edge_properties: list[PropertySpec] = field(default_factory=list)
     max_log_index: int | None = None
+    fixed_types: bool = False
+    fixed_labels: bool = False
 
     def schema_of(self, kind: str) -> T.StructType:
         extra = [T.StructField("labels", T.ArrayType(T.StringType()))] if kind == "vertex" else [T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()), T.StructField("edge_type", T.StringType())]

@@ -1,11 +1,15 @@
 """Logical plans to DataFrames. What a plan reads of each variable is found first, so that version
-resolution carries only those columns; Catalyst does the rest."""
+resolution carries only those columns. What cannot change between a put and the delete that ends it
+(identity, ends, fixed types and labels) is filtered below the resolution, deletes always kept, so it
+reaches the scan; a hop that starts from known vertices resolves only what they can reach. Catalyst
+does the rest."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tempora.functions.expressions import Compiler, ExpressionError, Typed, tag_of
 from tempora.model import LATEST, OPEN, Graph
@@ -47,6 +51,9 @@ class Lowering:
         self.graph, self.snapshot, self.params, self.needed = graph, snapshot, params, needed
         self.variables: dict[str, T.StructType | T.DataType] = {}
         self.tags: dict[str, str] = {}
+        #: The identity of a variable that is looked up, and the variables that stem from one.
+        self.known: dict[str, int] = {}
+        self.few: set[str] = set()
 
     # -- reading versions
 
@@ -59,10 +66,28 @@ class Lowering:
             raise ExpressionError("a time must be an integer")
         return t
 
-    def _versions(self, kind: str, scope: ir.Scope, columns: list[str], identity=None) -> DataFrame:
+    @staticmethod
+    def _among(history: DataFrame, column: str | list[str], keys: DataFrame) -> DataFrame:
+        """The puts of a history whose column (one of the columns) is a key, and all deletes; keys has one column."""
+        key = keys.columns[0]
+        columns = [column] if isinstance(column, str) else column
+        marked = keys.distinct().withColumnRenamed(key, "@key").withColumn("@hit", F.lit(True))
+        on = F.col(columns[0]) == F.col("@key")
+        if len(columns) > 1:  # an equi-join on either, not a join by condition
+            ways = history.where(~F.col("tombstone"))
+            hit = None
+            for c in columns:
+                part = ways.join(marked, F.col(c) == F.col("@key"), "left_semi").select("id")
+                hit = part if hit is None else hit.unionByName(part)
+            marked, on = hit.distinct().withColumnRenamed("id", "@key").withColumn("@hit", F.lit(True)), F.col("id") == F.col("@key")
+        return history.join(marked, on, "left").where(F.col("tombstone") | F.col("`@hit`").isNotNull()).select(*history.columns)
+
+    def _versions(self, kind: str, scope: ir.Scope, columns: list[str], identity=None, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         history = self.graph.history(kind)
         if identity is not None:
             history = history.where(F.col("id") == identity)
+        if narrow is not None:
+            history = narrow(history)
         tx = self._time(scope.system[1]) if scope.system and scope.system[0] == "as_of" else self.snapshot.tx_at
         valid = scope.valid
         if scope.system and scope.system[0] == "changes":
@@ -73,7 +98,7 @@ class Lowering:
             return temporal.overlapping(history, *map(self._time, valid[1:]), tx, columns)
         return temporal.visible(history, self._time(valid[1]) if valid else self.snapshot.valid_at, tx, columns)
 
-    def _entities(self, variable: str, kind: str, scope: ir.Scope, extra: list[str], identity=None) -> DataFrame:
+    def _entities(self, variable: str, kind: str, scope: ir.Scope, extra: list[str], identity=None, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """One struct column for each visible entity: $id, then what is needed of it; and the extra columns beside it."""
         system = {"version", "valid_from", "valid_to", "tx_time"}
         declared = [p.name for p in self.graph.properties(kind)]
@@ -84,7 +109,7 @@ class Lowering:
         else:
             fields = [c for c in dict.fromkeys([*declared, *fixed, *sorted(system)]) if c in need]
         changed = bool(scope.system and scope.system[0] == "changes" or scope.valid and scope.valid[0] == "changes")
-        rows = self._versions(kind, scope, list(dict.fromkeys([*(f for f in fields if f != "id"), *extra, *(["id"] if "id" in declared else [])])), identity)
+        rows = self._versions(kind, scope, list(dict.fromkeys([*(f for f in fields if f != "id"), *extra, *(["id"] if "id" in declared else [])])), identity, narrow)
         if changed:
             fields = [*fields, "change_kind"]
         struct = F.struct(F.col("id").alias("$id"), *[F.col(f) for f in fields])
@@ -115,11 +140,33 @@ class Lowering:
             df = df.where(F.array_contains(F.col(f"`@{variable}.labels`"), label))
         return df.drop(f"@{variable}.labels")
 
-    def _nodescan(self, p: ir.NodeScan, identity=None) -> DataFrame:
-        return self._labelled(self._entities(p.variable, "vertex", p.scope, ["labels"] if p.labels else [], identity), p.variable, p.labels)
+    @staticmethod
+    def _or_deleted(c: Column) -> Column:
+        return F.col("tombstone") | c
+
+    def _with_labels(self, labels: tuple[str, ...], then: Callable[[DataFrame], DataFrame] | None) -> Callable[[DataFrame], DataFrame]:
+        def narrow(history: DataFrame) -> DataFrame:
+            if self.graph.fixed_labels:
+                for label in labels:
+                    history = history.where(self._or_deleted(F.array_contains("labels", label)))
+            return history if then is None else then(history)
+
+        return narrow
+
+    def _with_types(self, types: tuple[str, ...], then: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame], DataFrame]:
+        def narrow(history: DataFrame) -> DataFrame:
+            if self.graph.fixed_types and types:
+                history = history.where(self._or_deleted(F.col("edge_type").isin(*types)))
+            return history if then is None else then(history)
+
+        return narrow
+
+    def _nodescan(self, p: ir.NodeScan, identity=None, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        rows = self._entities(p.variable, "vertex", p.scope, ["labels"] if p.labels else [], identity, self._with_labels(p.labels, narrow))
+        return self._labelled(rows, p.variable, p.labels)
 
     def _relationshipscan(self, p: ir.RelationshipScan, identity=None) -> DataFrame:
-        df = self._entities(p.variable, "edge", p.scope, ["edge_type"] if p.types else [], identity)
+        df = self._entities(p.variable, "edge", p.scope, ["edge_type"] if p.types else [], identity, self._with_types(p.types))
         return df.where(F.col(f"`@{p.variable}.edge_type`").isin(*p.types)).drop(f"@{p.variable}.edge_type") if p.types else df
 
     def _identity(self, e):
@@ -129,14 +176,24 @@ class Lowering:
         return value
 
     def _vertexlookup(self, p: ir.VertexLookup) -> DataFrame:
-        return self._nodescan(ir.NodeScan(p.variable, p.labels, p.scope), self._identity(p.id))
+        identity = self._identity(p.id)
+        self.known[p.variable] = identity
+        self.few.add(p.variable)
+        return self._nodescan(ir.NodeScan(p.variable, p.labels, p.scope), identity)
 
     def _relationshiplookup(self, p: ir.RelationshipLookup) -> DataFrame:
         return self._relationshipscan(ir.RelationshipScan(p.variable, (), p.scope), self._identity(p.id))
 
     def _expand(self, p: ir.Expand) -> DataFrame:
         left = self.lower(p.input)
-        edges = self._entities(p.relationship, "edge", p.scope, ["src", "dst", *(["edge_type"] if p.types else [])])
+        ends = {"out": ["src"], "in": ["dst"], "either": ["src", "dst"]}[p.direction]
+        near = None
+        if p.source in self.known:
+            at = F.lit(self.known[p.source])
+            near = lambda h: h.where(self._or_deleted(F.col(ends[0]) == at if len(ends) == 1 else (F.col("src") == at) | (F.col("dst") == at)))
+        elif p.source in self.few:
+            near = lambda h: self._among(h, ends, left.select(F.col(f"`{p.source}`.`$id`").alias("@near")))
+        edges = self._entities(p.relationship, "edge", p.scope, ["src", "dst", *(["edge_type"] if p.types else [])], None, self._with_types(p.types, near))
         src, dst, kind = (F.col(f"`@{p.relationship}.{c}`") for c in ("src", "dst", "edge_type"))
         if p.types:
             edges = edges.where(kind.isin(*p.types))
@@ -154,8 +211,14 @@ class Lowering:
         if self.needed.get(p.destination, set()) is not None and not self.needed.get(p.destination) and not p.labels and p.destination.startswith("@"):
             struct = T.StructType([T.StructField("$id", T.LongType())])
             self.variables[p.destination], self.tags[p.destination] = struct, "vertex"
+            if p.source in self.few:
+                self.few.add(p.destination)
             return out.withColumn(p.destination, F.struct(F.col("`@far`").alias("$id"))).drop("@far")
-        far = self._nodescan(ir.NodeScan(p.destination, p.labels, p.scope))
+        reached = None
+        if p.source in self.few:
+            self.few.add(p.destination)
+            reached = lambda h: self._among(h, "id", out.select("@far"))
+        far = self._nodescan(ir.NodeScan(p.destination, p.labels, p.scope), None, reached)
         return out.join(far, F.col("`@far`") == F.col(f"`{p.destination}`.`$id`")).drop("@far")
 
     def _filter(self, p: ir.Filter) -> DataFrame:

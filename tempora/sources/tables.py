@@ -97,7 +97,7 @@ def commerce(spark: SparkSession, d: str) -> Graph:
     ):
         e = part if e is None else e.unionByName(part)
     props = [PropertySpec("name", "string"), PropertySpec("segment", "string"), PropertySpec("amount", "float")]
-    return Graph(v, e, props, [])
+    return Graph(v, e, props, [], fixed_types=True, fixed_labels=True)
 
 
 #: Instants that the queries read at: 15 January 2024, and seven tenths of the events.
