@@ -69,8 +69,15 @@ def changes(log: DataFrame, after: tuple[int, int] | None, through: int, limit:
 
 def next_cursor(log: DataFrame, after: tuple[int, int] | None, through: int, limit: int) -> tuple[int, int] | None:
     """The cursor to go on from after a page of limit records, if there are more."""
-    rows = changes(log, after, through, limit + 1).select("log_index", "ordinal").collect()
-    return (rows[limit - 1][0], rows[limit - 1][1]) if len(rows) > limit else None
+    rows = changes(log, after, through, limit + 1).select("log_index", "ordinal").offset(limit - 1).collect()  # the last of the page and one more
+    return tuple(rows[0]) if len(rows) > 1 else None
+
+
+def alive(history: DataFrame) -> DataFrame:
+    """The puts that no later delete of their identity has ended."""
+    dead = history.where("tombstone").groupBy("id").agg(F.max(F.struct("tx_time", "version")).alias("dead"))
+    puts = history.where(~F.col("tombstone")).join(dead, "id", "left")
+    return puts.where(F.col("dead").isNull() | (F.struct("tx_time", "version") >= F.col("dead"))).drop("dead")
 
 
 def overlapping(history: DataFrame, start, end, tx_at, columns: list[str] | None = None) -> DataFrame:

@@ -2,18 +2,25 @@
 
 A commit writes its rows as new Parquet batches and then publishes a manifest under the next
 number; readers see the batches of the last manifest, so a commit is there as a whole or not at
-all. Publishing a number that is taken fails, and the writer that was first has won.
+all. Publishing a number that is taken fails, and the writer that was first has won; the batches
+of the loser are removed. A manifest names the batches of its own commit apart from those that
+are there in all, which is what a change feed follows: compaction adds none.
+
+A request key is in its commit's manifest, and has a file of its own besides. A writer first
+writes that file for the last manifest if it is missing, so the files know all but the last
+commit's key and a commit reads one small file for its own.
 """
 
 from __future__ import annotations
 
+import hashlib
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tempora.functions.expressions import Compiler, Typed
-from tempora.functions.lineage import materialize, numbered
+from tempora.functions.lineage import materialize, numbered, release
 from tempora.model import OPEN, Graph, PropertySpec
 from tempora.operators import temporal
 from tempora.plans import ir
@@ -37,22 +44,54 @@ def conflicts(mutations: DataFrame, committed: DataFrame, start_tx: int) -> Data
     return m.join(c, (F.col("m.id") == F.col("c.id")) & meets, "left_semi")
 
 
-def overlay_faults(staged: DataFrame) -> DataFrame:
-    """Identities of a batch that are put and deleted, or have a version twice, or overlapping puts; as id, fault."""
+def overlay_faults(staged: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    """Identities of a batch that are put and deleted, or have a version twice (live versions of theirs included), or overlapping puts; as id, fault."""
     by = staged.groupBy("id").agg(F.max(F.col("tombstone").cast("int")).alias("dead"), F.max((~F.col("tombstone")).cast("int")).alias("live"))
     both = by.where("dead = 1 and live = 1").select("id", F.lit("PUT-AND-DELETE").alias("fault"))
-    twice = staged.groupBy("id", "version").count().where("count > 1").select("id", F.lit("DUPLICATE-VERSION").alias("fault"))
     puts = staged.where(~F.col("tombstone")).select("id", "version", "valid_from", "valid_to")
+    versions = staged.select("id", "version")
+    if live is not None:
+        versions = versions.unionByName(live.join(puts.select("id", "version").distinct(), ["id", "version"], "left_semi").select("id", "version").distinct())
+    twice = versions.groupBy("id", "version").count().where("count > 1").select("id", F.lit("DUPLICATE-VERSION").alias("fault"))
     a, b = puts.alias("a"), puts.alias("b")
     meet = a.join(b, (F.col("a.id") == F.col("b.id")) & (F.col("a.version") < F.col("b.version")) & temporal.overlaps(F.col("a.valid_from"), F.col("a.valid_to"), F.col("b.valid_from"), F.col("b.valid_to")))
     return both.unionByName(twice).unionByName(meet.select("a.id", F.lit("OVERLAPPING-VERSIONS").alias("fault"))).distinct()
 
 
-def moved_edges(staged: DataFrame, committed: DataFrame) -> DataFrame:
-    """Edges whose ends differ from those of their other versions."""
-    puts = staged.where(~F.col("tombstone")).select("id", "src", "dst")
-    both = puts.unionByName(committed.where(~F.col("tombstone")).join(puts.select("id").distinct(), "id", "left_semi").select("id", "src", "dst"))
-    return both.groupBy("id").agg(F.count_distinct("src", "dst").alias("n")).where("n > 1").select("id")
+def moved_edges(staged: DataFrame, live: DataFrame) -> DataFrame:
+    """Edges whose ends or type differ from those of their other live versions."""
+    puts = staged.where(~F.col("tombstone")).select("id", "src", "dst", "edge_type")
+    both = puts.unionByName(live.join(puts.select("id").distinct(), "id", "left_semi").select("id", "src", "dst", "edge_type"))
+    return both.groupBy("id").agg(F.count_distinct(F.struct("src", "dst", "edge_type")).alias("n")).where("n > 1").select("id")
+
+
+def uncovered_edges(edges: DataFrame, live_edges: DataFrame, vertices: DataFrame, live_vertices: DataFrame) -> DataFrame:
+    """Edges that outlive one of their ends: staged ones, and live ones whose end the batch deletes. All that counts of an end is what is left of it after the batch."""
+    gone = vertices.where("tombstone").select("id").distinct()
+    left = live_edges.join(edges.where("tombstone").select("id").distinct(), "id", "left_anti")
+    hit = left.join(gone.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(left.join(gone.withColumnRenamed("id", "dst"), "dst", "left_semi"), allowMissingColumns=True)
+    columns = ["id", "version", "src", "dst", "valid_from", "valid_to"]
+    checked = edges.where(~F.col("tombstone")).select(*columns).unionByName(hit.select(*columns)).distinct()
+    ends = checked.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    known = live_vertices.join(gone, "id", "left_anti").join(ends, "id", "left_semi").select("id", "valid_from", "valid_to")
+    known = known.unionByName(vertices.where(~F.col("tombstone")).select("id", "valid_from", "valid_to"))
+    return temporal.covered(checked, known).where(~F.col("covered")).select("id").distinct()
+
+
+def faults(staged: dict[str, DataFrame], graph: Graph) -> DataFrame:
+    """All that speaks against a batch (by kind) on top of a graph: entity, id, fault."""
+    none = lambda kind: graph.history(kind).limit(0)
+    live = {k: temporal.alive(graph.history(k)) for k in ("vertex", "edge")}
+    out = None
+    for kind, df in staged.items():
+        part = overlay_faults(df, live[kind])
+        if kind == "edge":
+            part = part.unionByName(moved_edges(df, live[kind]).withColumn("fault", F.lit("ENDPOINTS")))
+        part = part.select(F.lit(kind).alias("entity"), "id", "fault")
+        out = part if out is None else out.unionByName(part)
+    torn = uncovered_edges(staged.get("edge", none("edge")), live["edge"], staged.get("vertex", none("vertex")), live["vertex"])
+    torn = torn.select(F.lit("edge").alias("entity"), "id", F.lit("COVERAGE").alias("fault"))
+    return torn if out is None else out.unionByName(torn)
 
 
 class GraphWriter:
@@ -65,7 +104,7 @@ class GraphWriter:
 
     def manifest(self) -> dict:
         names = [n for n in self.folder.names("manifests") if n.endswith(".json")]
-        return self.folder.read(f"manifests/{names[-1]}") if names else {"number": 0, "tx_time": 0, "log_index": 0, "batches": {"vertex": [], "edge": []}, "keys": []}
+        return self.folder.read(f"manifests/{names[-1]}") if names else {"number": 0, "tx_time": 0, "log_index": 0, "batches": {"vertex": [], "edge": []}, "added": {"vertex": [], "edge": []}, "key": None}
 
     def _history(self, kind: str, manifest: dict) -> DataFrame:
         schema = self.empty.schema_of(kind)
@@ -74,7 +113,7 @@ class GraphWriter:
 
     def graph(self) -> Graph:
         m = self.manifest()
-        return Graph(self._history("vertex", m), self._history("edge", m), self.empty.vertex_properties, self.empty.edge_properties, m["log_index"])
+        return Graph(self._history("vertex", m), self._history("edge", m), self.empty.vertex_properties, self.empty.edge_properties, m["log_index"], fixed_types=True)
 
     # -- writing
 
@@ -86,11 +125,22 @@ class GraphWriter:
             cols.append(c.cast(f.dataType).alias(f.name))
         return kind, df.select(*cols)
 
-    def commit(self, mutations: list[tuple[str, DataFrame]], start_tx: int | None = None, key: str | None = None) -> dict:
-        """Check and commit; gives the receipt. A key that was committed before changes nothing."""
+    @staticmethod
+    def _key_file(key: str) -> str:
+        return f"keys/{hashlib.sha256(key.encode()).hexdigest()}.json"
+
+    def _receipt(self, key: str, last: dict) -> dict | None:
+        """What was committed under a key; the last manifest's key gets its file if that is missing."""
+        if last["key"] is not None and not self.folder.exists(self._key_file(last["key"])):
+            self.folder.publish(self._key_file(last["key"]), {"number": last["number"], "tx_time": last["tx_time"]})
+        return self.folder.read(self._key_file(key)) if self.folder.exists(self._key_file(key)) else None
+
+    def commit(self, mutations: list[tuple[str, DataFrame]], start_tx: int | None = None, key: str | None = None, limit: int | None = MAX_MUTATIONS) -> dict:
+        """Check and commit; gives the receipt. A key that was committed before changes nothing. limit: mutations at most."""
         m = self.manifest()
-        if key is not None and key in m["keys"]:
-            return {"number": m["number"], "tx_time": m["tx_time"], "replayed": True}
+        known = self._receipt(key or "", m)
+        if key is not None and known is not None:
+            return known | {"replayed": True}
         g = self.graph()
         staged: dict[str, DataFrame] = {}
         for kind in ("vertex", "edge"):
@@ -100,30 +150,35 @@ class GraphWriter:
                 for p in parts[1:]:
                     df = df.unionByName(p)
                 staged[kind] = materialize(df, "staged")
-        total = sum(df.count() for df in staged.values())
-        if total > MAX_MUTATIONS:
-            raise TransactionError("LIMIT", f"{total} mutations; at most {MAX_MUTATIONS}")
+        sizes = {kind: df.count() for kind, df in staged.items()}
+        if limit is not None and sum(sizes.values()) > limit:
+            raise TransactionError("LIMIT", f"{sum(sizes.values())} mutations; at most {limit}")
         for kind, df in staged.items():
             if not df.where(~F.col("tombstone") & (F.col("valid_from") >= F.col("valid_to"))).isEmpty():
                 raise TransactionError("INTERVAL", "a version that ends before it starts")
             if start_tx is not None and not conflicts(df, g.history(kind), start_tx).isEmpty():
                 raise TransactionError("CONFLICT", "another commit was first")
-            if fault := overlay_faults(df).first():
-                raise TransactionError(fault["fault"], f"identity {fault['id']}")
-        if "edge" in staged:
-            self._check_edges(staged, g)
+        if fault := faults(staged, g).first():
+            raise TransactionError(fault["fault"], f"{fault['entity']} {fault['id']}")
         tx = max(time.time_ns() // 1000, m["tx_time"] + 1)
         log_index, name = m["log_index"] + 1, uuid.uuid4().hex
         batches = {k: list(v) for k, v in m["batches"].items()}
+        added: dict[str, list[str]] = {"vertex": [], "edge": []}
         at = 0
         for kind, df in staged.items():
             rows = numbered(df.withColumns({"tx_time": F.lit(tx), "log_index": F.lit(log_index)}), [F.col("id"), F.col("version")], "ordinal", at)
             rows.select(*self.empty.schema_of(kind).names).write.parquet(f"{self.path}/{kind}/{name}")
             batches[kind].append(name)
-            at += df.count()
-        new = {"number": m["number"] + 1, "tx_time": tx, "log_index": log_index, "batches": batches, "keys": [*m["keys"], *([key] if key else [])]}
+            added[kind].append(name)
+            at += sizes[kind]
+        new = {"number": m["number"] + 1, "tx_time": tx, "log_index": log_index, "batches": batches, "added": added, "key": key}
         if not self.folder.publish(f"manifests/{new['number']:012d}.json", new):
+            for kind in staged:
+                self.folder.remove(f"{kind}/{name}")
             raise TransactionError("CONFLICT", "another commit was first")
+        release(*staged.values())
+        if key is not None:
+            self.folder.publish(self._key_file(key), {"number": new["number"], "tx_time": tx})
         return {"number": new["number"], "tx_time": tx, "replayed": False}
 
     def compact(self) -> dict:
@@ -134,23 +189,12 @@ class GraphWriter:
             if m["batches"][kind]:
                 g.history(kind).repartitionByRange("id").sortWithinPartitions("id", "tx_time", "version").write.parquet(f"{self.path}/{kind}/{name}")
                 batches[kind] = [name]
-        new = m | {"number": m["number"] + 1, "batches": batches}
+        self._receipt("", m)
+        new = m | {"number": m["number"] + 1, "batches": batches, "added": {"vertex": [], "edge": []}, "key": None}
         if not self.folder.publish(f"manifests/{new['number']:012d}.json", new):
             raise TransactionError("CONFLICT", "another commit was first")
         return new
 
-    def _check_edges(self, staged: dict[str, DataFrame], g: Graph) -> None:
-        edges = staged["edge"]
-        if not moved_edges(edges, g.edges).isEmpty():
-            raise TransactionError("ENDPOINTS", "an edge cannot change its ends")
-        intervals = ["id", "valid_from", "valid_to"]
-        known = g.vertices.where(~F.col("tombstone")).select(*intervals)
-        if "vertex" in staged:
-            known = known.unionByName(staged["vertex"].where(~F.col("tombstone")).select(*intervals))
-        puts = edges.where(~F.col("tombstone"))
-        if not temporal.covered(puts, known).where(~F.col("covered")).isEmpty():
-            raise TransactionError("COVERAGE", "an edge outlives one of its ends")
-
     # -- statements
 
     def mutations_of(self, program: ir.Program, params: dict, snapshot: Snapshot, request: str | None = None) -> list[tuple[str, DataFrame]]:
@@ -179,9 +223,11 @@ class GraphWriter:
         ids = df.select(F.col(f"`{m.variable}`.`$id`").alias("id"), *([v.alias(f"@{k}") for k, v in self._declared(kind, {k: c(e).column for k, e in m.properties}).items()] if isinstance(m, ir.SetProperties) else [])).dropDuplicates(["id"])
         history = g.history(kind)
         last = history.join(ids.select("id"), "id", "left_semi").groupBy("id").agg((F.max("version") + 1).alias("version"))
+        fixed = ["labels"] if kind == "vertex" else ["src", "dst", "edge_type"]
         if isinstance(m, ir.Delete):
+            if kind == "edge":  # a delete names the ends that it frees
+                last = last.join(history.where(~F.col("tombstone")).groupBy("id").agg(F.max_by(F.struct(*fixed), F.struct("tx_time", "version")).alias("e")), "id").select("id", "version", "e.*")
             return [self.rows(kind, last.withColumn("tombstone", F.lit(True)))]
-        fixed = ["labels"] if kind == "vertex" else ["src", "dst", "edge_type"]
         names = [p.name for p in self.empty.properties(kind)]
         old = temporal.visible(history, snapshot.valid_at, snapshot.tx_at, [*fixed, *names])
         new = old.join(ids, "id").join(last, "id").withColumns({"valid_from": F.lit(at), "valid_to": F.lit(OPEN)})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -36,13 +37,16 @@ class Folder:
         """Write a new JSON file as a whole; False if it is there already."""
         if self.exists(name):
             return False
-        draft = self._at(f"{name}.draft")
+        draft = self._at(f"{name}.{uuid.uuid4().hex}.draft")
         s = self._fs.create(draft, True)
         try:
             s.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         finally:
             s.close()
-        return self._fs.rename(draft, self._at(name))
+        if not self.exists(name) and self._fs.rename(draft, self._at(name)):
+            return True
+        self._fs.delete(draft, False)
+        return False
 
     def remove(self, name: str) -> None:
         self._fs.delete(self._at(name), True)

@@ -104,6 +104,11 @@ def test_writes(spark, tmp_path):
         s.query("MATCH (a {name: 'a'}) MATCH (b {name: 'b'}) CREATE (a)-[r:KNOWS]->(b) VALID FROM 1")
     s.query("BEGIN")
     s.query("MATCH (b {name: 'b'}) DELETE b VALID FROM 8")
+    with pytest.raises(TransactionError, match="COVERAGE"):
+        s.query("COMMIT")  # an edge still needs it
+    s.query("BEGIN")
+    s.query("MATCH (a)-[r]->(b) DELETE r VALID FROM 8")
+    s.query("MATCH (b {name: 'b'}) DELETE b VALID FROM 8")
     assert s.query("MATCH (n) RETURN COUNT(*)").first()[0] == 2
     s.query("COMMIT")
     assert s.query("MATCH (n) RETURN COUNT(*)").first()[0] == 1
@@ -156,20 +161,117 @@ def test_snapshots_stream_and_jobs(spark, tmp_path, session):
     assert spark.read.format("tempora").option("paths", ",".join(files)).load().count() == 3
 
 
-def test_large_batches_are_cut(spark, tmp_path, monkeypatch):
-    from tempora.operators import write
+def test_a_large_batch_is_one_commit(spark, tmp_path, monkeypatch):
     from tempora.streaming import ingest
 
-    monkeypatch.setattr(ingest, "MAX_MUTATIONS", 12)
-    monkeypatch.setattr(write, "MAX_MUTATIONS", 16)
     w = GraphWriter(spark, f"file://{tmp_path}/w", [PropertySpec("name", "string")], [])
-    items = spark.range(1, 31).selectExpr("cast(id as string) item_key", "id", "0L valid_from", "'x' name")
+    items = spark.range(1, 5001).selectExpr("cast(id as string) item_key", "id", "0L valid_from", "'x' name")
     for _ in range(2):
         ingest.Ingest(w, f"file://{tmp_path}/r").batch(items, 0)
-    assert sorted(r.id for r in w.graph().vertices.collect()) == list(range(1, 31))
-    before = sorted(map(str, w.graph().vertices.collect()))
-    assert w.compact()["batches"]["vertex"] != [] and len(w.manifest()["batches"]["vertex"]) == 1
-    assert sorted(map(str, w.graph().vertices.collect())) == before
+    assert w.manifest()["number"] == 1 and w.graph().vertices.count() == 5000
+    with pytest.raises(TransactionError, match="LIMIT"):
+        w.commit([w.rows("vertex", items.selectExpr("id + 9000 as id", "valid_from", "5L as valid_to"))])
+    again = ingest.Ingest(w, f"file://{tmp_path}/r")
+    again.batch(items.where("id <= 3").selectExpr("concat('n', id) item_key", "id", "9L valid_from", "'y' name"), 1)
+    assert sorted((r.id, r.version) for r in w.graph().vertices.where("name = 'y'").collect()) == [(1, 2), (2, 2), (3, 2)]
+
+
+def test_change_feed_follows_the_committed_log(spark, tmp_path):
+    from tempora.streaming.ingest import ChangeFeed
+
+    w = GraphWriter(spark, f"file://{tmp_path}/w", [PropertySpec("name", "string")], [])
+    put = lambda *ids, v=1: [w.rows("vertex", spark.createDataFrame([(i, v, v * 10, OPEN, "x") for i in ids], "id bigint, version bigint, valid_from bigint, valid_to bigint, name string"))]
+    feed, seen = ChangeFeed(w), []
+
+    def follow():
+        feed.start(lambda df, _: seen.extend((r.log_index, r.ordinal, r.id, r.change_kind) for r in df.orderBy("log_index", "ordinal").collect()), f"{tmp_path}/cp").awaitTermination()
+
+    def streamed():
+        q = feed.stream("vertex").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted((r.id, r.version) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    w.commit(put(1, 2))
+    follow()
+    w.commit(put(3))
+    w.compact()
+    follow()
+    other, number = GraphWriter(spark, f"file://{tmp_path}/w", [PropertySpec("name", "string")], []), w.manifest()["number"]
+    stale = other.manifest()
+    other.manifest = lambda: stale  # a writer that has not seen the next commit
+    w.commit(put(4))
+    with pytest.raises(TransactionError, match="CONFLICT"):
+        other.commit(put(5))
+    assert w.manifest()["number"] == number + 1
+    w.compact()
+    w.commit(put(1, v=2))
+    follow()
+    assert [x[2] for x in seen] == [1, 2, 3, 4, 1] and seen == sorted(set(seen))
+    assert streamed() == [(1, 1), (1, 2), (2, 1), (3, 1), (4, 1)]
+    assert [r.id for r in feed.changes(None, 2).collect()] == [1, 2] and [r.id for r in feed.changes((1, 1)).collect()] == [3, 4, 1]
+    folders = sorted(w.folder.names("vertex"))
+    assert set(folders) >= set(w.manifest()["batches"]["vertex"]) and len(spark.read.parquet(*[f"{tmp_path}/w/vertex/{f}" for f in folders]).where("id = 5").collect()) == 0
+    log = temporal.change_log(w.graph().vertices, w.graph().edges)
+    assert temporal.next_cursor(log, None, 99, 2) == (1, 1) and temporal.next_cursor(log, None, 99, 5) is None
+
+
+def test_overlay_checks(spark, tmp_path):
+    w = GraphWriter(spark, f"file://{tmp_path}/w", [PropertySpec("name", "string")], [])
+    v = lambda *rows: w.rows("vertex", spark.createDataFrame(rows, "id bigint, version bigint, valid_from bigint, valid_to bigint, tombstone boolean"))
+    e = lambda *rows: w.rows("edge", spark.createDataFrame(rows, "id bigint, version bigint, valid_from bigint, valid_to bigint, tombstone boolean, src bigint, dst bigint, edge_type string"))
+    w.commit([v((1, 1, 0, 100, False), (2, 1, 0, 100, False), (3, 1, 0, 100, False)), e((9, 1, 5, 50, False, 1, 2, "A"))])
+    for fault, batch in (
+        ("DUPLICATE-VERSION", [v((1, 1, 0, 100, False))]),
+        ("PUT-AND-DELETE", [v((3, 2, 0, 100, False), (3, 3, None, None, True))]),
+        ("OVERLAPPING", [v((4, 1, 0, 100, False), (4, 2, 50, 150, False))]),
+        ("ENDPOINTS", [e((9, 2, 5, 50, False, 1, 3, "A"))]),
+        ("ENDPOINTS", [e((9, 2, 5, 50, False, 1, 2, "B"))]),
+        ("COVERAGE", [e((10, 1, 5, 101, False, 1, 2, "A"))]),
+        ("COVERAGE", [v((2, 2, None, None, True))]),
+        ("COVERAGE", [v((3, 2, None, None, True)), e((10, 1, 5, 50, False, 1, 3, "A"))]),
+    ):
+        with pytest.raises(TransactionError, match=fault):
+            w.commit(batch)
+    w.commit([v((3, 2, None, None, True))])
+    with pytest.raises(TransactionError, match="COVERAGE"):
+        w.commit([e((10, 1, 5, 50, False, 1, 3, "A"))])  # to a vertex that was deleted before
+    w.commit([v((3, 3, 0, 60, False)), e((10, 1, 5, 50, False, 1, 3, "A"))])
+    w.commit([v((2, 2, None, None, True)), e((9, 2, None, None, True, 1, 2, "A"))])
+    w.commit([e((9, 3, 5, 50, False, 1, 3, "B"))])  # after its delete an identity may start anew
+    assert w.manifest()["number"] == 5
+
+
+def test_keys_of_commits_whose_writer_died(spark, tmp_path):
+    w = GraphWriter(spark, f"file://{tmp_path}/w", [], [])
+    row = lambda i: [w.rows("vertex", spark.createDataFrame([(i, 0, 9)], "id bigint, valid_from bigint, valid_to bigint"))]
+    w.commit(row(1), key="a")
+    w.folder.remove("keys")  # the manifest was published, the key's file was not
+    assert w.commit(row(1), key="a")["replayed"]
+    w.commit(row(2), key="b")
+    w.folder.remove(w._key_file("b"))
+    w.compact()
+    assert w.commit(row(2), key="b")["replayed"] and w.graph().vertices.count() == 2
+
+
+def test_ends_reach_the_scan(spark, tmp_path):
+    """One hop, and two, from a known vertex over a store: the filter on its end is pushed to the files, below the resolution."""
+    w = GraphWriter(spark, f"file://{tmp_path}/w", [], [])
+    n = 40
+    v = spark.range(1, n + 1).selectExpr("id", "0L valid_from", "100L valid_to")
+    e = spark.range(1, 10 * n + 1).selectExpr("id", "0L valid_from", "100L valid_to", f"id % {n} + 1 as src", f"id * 7 % {n} + 1 as dst", "'T' as edge_type")
+    w.commit([w.rows("vertex", v), w.rows("edge", e)])
+    s = GraphSession(spark, w.graph())
+    one = s.query("MATCH (a)-[r:T]->(b) WHERE a.id = 3 RETURN r.id, b.id", None, 17)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "Or(EqualTo(tombstone,true),EqualTo(src,3))" in plan and "Or(EqualTo(tombstone,true),EqualTo(edge_type,T))" in plan, plan
+    links = [(i, i % n + 1, i * 7 % n + 1) for i in range(1, 10 * n + 1)]
+    assert sorted(map(tuple, one.collect())) == sorted((i, b) for i, a, b in links if a == 3)
+    two = s.query("MATCH (a)-[r]->(b)-[t]-(c) WHERE a.id = 3 RETURN r.id, t.id, c.id", None, 17)
+    want = [(i, k, d if c == b else c) for i, a, b in links if a == 3 for k, c, d in links if b in (c, d)]
+    assert sorted(map(tuple, two.collect())) == sorted(want)
+    assert sorted(map(tuple, s.query("MATCH (a)<-[r]-(b) WHERE a.id = 3 RETURN r.id, b.id", None, 17).collect())) == sorted((i, a) for i, a, b in links if b == 3)
 
 
 def test_pushdown(session, spark, tmp_path):
