@@ -33,16 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read back, so that its lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    if not _written:
-        atexit.register(_remove_all)
-    _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed like a written intermediate."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_remove_all)
+    _written[path] = spark
+    return path
+
+
 def release(*frames: DataFrame | None) -> None:
     """Remove the files of frames that materialize() gave and that nothing will read again."""
     for f in frames:

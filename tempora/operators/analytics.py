@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -28,11 +29,19 @@ class AnalyticsError(ValueError):
 
 @dataclass
 class Projection:
-    """The graph that algorithms run on, with the caps that guard them."""
+    """The graph that algorithms run on, with the caps that guard them.
+
+    max_iterations bounds the rounds of every loop, max_work the rows that rounds go over (edges and vertices, once a round),
+    max_pairs the (source, vertex) pairs that all-pairs algorithms hold at a time. None: no bound.
+    """
 
     vertices: DataFrame
     edges: DataFrame
     max_iterations: int = 10_000
+    max_work: int | None = None
+    max_pairs: int | None = None
+    used: int = 0
+    size: int | None = None
 
     def check(self) -> "Projection":
         """Raise on edges whose ends are not vertices or on repeated edge ids."""
@@ -48,6 +57,17 @@ class Projection:
             raise AnalyticsError("ITERATION-LIMIT", f"{n} iterations; at most {self.max_iterations}")
         return n
 
+    def round(self, n: int) -> None:
+        """Account for the n-th round of a loop."""
+        if n > self.max_iterations:
+            raise AnalyticsError("ITERATION-LIMIT", f"more than {self.max_iterations} rounds")
+        if self.max_work is not None:
+            if self.size is None:
+                self.size = self.edges.count() + self.vertices.count()
+            self.used += self.size
+            if self.used > self.max_work:
+                raise AnalyticsError("RESOURCE-LIMIT", f"more than {self.max_work} rows of work")
+
     def has(self, vertex: int) -> None:
         if self.vertices.where(F.col("id") == vertex).isEmpty():
             raise AnalyticsError("INVALID-REQUEST", f"no vertex {vertex}")
@@ -72,6 +92,7 @@ def bfs(g: Projection, source: int, max_depth: int = 64) -> DataFrame:
     done = g.vertices.where(F.col("id") == source).select(F.col("id").alias("vertex"), F.lit(0).cast("bigint").alias("position"), F.lit(0).cast("bigint").alias("depth")).distinct()
     layer, n = done, 1
     for depth in range(1, max_depth + 1):
+        g.round(depth)
         found = layer.join(e, layer["vertex"] == e["src"]).groupBy(F.col("dst").alias("vertex")).agg(F.min("position").alias("parent"))
         found = found.join(done.select("vertex"), "vertex", "left_anti")
         layer = numbered(found, [F.col("parent"), F.col("vertex")], "position", n).select("vertex", "position", F.lit(depth).cast("bigint").alias("depth"))
@@ -114,7 +135,8 @@ def _relax(g: Projection, start: DataFrame, keys: list[str], weight: str | None)
     e = e.groupBy("src", "dst").agg(F.min("w").alias("w"), F.max((F.col("w").isNull()).cast("int")).alias("none"), F.max((F.isnan("w") | (F.abs("w") == math.inf) | (F.col("w") < 0)).cast("int")).alias("bad"))
     e = materialize(e, "relax-edges")
     best = frontier = both = materialize(start, "relax")
-    while True:
+    for n in count(1):
+        g.round(n)
         scanned = frontier.join(e, frontier["vertex"] == e["src"])
         bad = scanned.agg(F.max("none"), F.max("bad")).first()
         if bad[0]:
@@ -172,10 +194,12 @@ def _spread(nodes: DataFrame, edges: DataFrame, by: str) -> DataFrame:
 
 def strongly_connected_components(g: Projection) -> DataFrame:
     """component (its least vertex), vertex: least labels forward, then back from their roots within each colour, until none is left."""
-    left = materialize(g.vertices.select("id"), "scc")
+    left, n = materialize(g.vertices.select("id"), "scc"), 0
     edges = materialize(g.edges.where(F.col("src") != F.col("dst")).select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "scc")
     out = None
     while not left.isEmpty():
+        n += 1
+        g.round(n)
         into, outof = edges.select(F.col("b").alias("id")).distinct(), edges.select(F.col("a").alias("id")).distinct()
         alone = left.join(into.intersect(outof), "id", "left_anti")
         part = alone.select(F.col("id").alias("component"), F.col("id").alias("vertex"))
@@ -210,6 +234,7 @@ def page_rank(g: Projection, iterations: int = 20, damping: float = 0.85) -> Dat
     pairs = materialize(pairs.join(degree, "src").select("src", "dst", (F.col("k") / F.col("degree")).alias("share")), "rank-edges")
     rank, kept = nodes.withColumn("r", F.lit(1.0 / n)), None
     for i in range(iterations):
+        g.round(i + 1)
         dangling = rank.agg(F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("r"))), F.lit(0.0)).alias("d"))
         got = pairs.join(rank.select(F.col("id").alias("src"), "r"), "src").groupBy("dst").agg(F.sum(F.col("share") * F.col("r")).alias("got"))
         rank = nodes.join(got, nodes["id"] == got["dst"], "left").crossJoin(F.broadcast(dangling))  # one row
@@ -229,49 +254,79 @@ def degree_centrality(g: Projection) -> DataFrame:
     return g.vertices.join(d, "id", "left").select(F.col("id").alias("vertex"), (F.coalesce("d", F.lit(0)) / F.lit(float(n))).alias("score"))
 
 
-def _hops(g: Projection) -> DataFrame:
-    """source, vertex, depth of all that each vertex reaches, by layers of all sources at once."""
+def _sources(g: Projection) -> list[DataFrame]:
+    """The vertices as sources, in as many hashed parts as keep the pairs of a part near max_pairs."""
+    n = g.vertices.count()
+    parts = 1 if g.max_pairs is None else min(max(1, -(-n * n // max(g.max_pairs, 1))), max(n, 1))
+    return [g.vertices.select("id").where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k) for k in range(parts)]
+
+
+def _hops(g: Projection, sources: DataFrame) -> list[DataFrame]:
+    """source, vertex of all that each source reaches, a written layer for each depth."""
     e = materialize(g.edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct(), "hops")
-    seen = layer = materialize(g.vertices.select(F.col("id").alias("source"), F.col("id").alias("vertex"), F.lit(0).alias("depth")), "hops")
-    depth = 0
-    while True:
-        depth += 1
+    seen = layer = materialize(sources.select(F.col("id").alias("source"), F.col("id").alias("vertex")), "hops")
+    layers = [layer]
+    for n in count(1):
+        g.round(n)
         new = layer.join(e, layer["vertex"] == e["src"]).select("source", F.col("dst").alias("vertex")).distinct()
-        layer = materialize(new.join(seen, ["source", "vertex"], "left_anti").withColumn("depth", F.lit(depth)), "hops")
+        layer = materialize(new.join(seen, ["source", "vertex"], "left_anti"), "hops")
         if layer.isEmpty():
-            return seen
+            release(e, layer)
+            return layers
+        layers.append(layer)
         seen = seen.unionByName(layer)
 
 
 def closeness_centrality(g: Projection) -> DataFrame:
     """vertex, score: reached squared over others times the sum of hop distances; 0 if nothing is reached."""
-    n = g.vertices.count()
-    d = _hops(g).where("depth > 0").groupBy("source").agg(F.count("*").alias("r"), F.sum("depth").alias("s"))
+    n, parts = g.vertices.count(), None
+    for sources in _sources(g):
+        layers = _hops(g, sources)
+        near = None
+        for depth, layer in enumerate(layers):
+            part = layer.groupBy("source").agg(F.count("*").alias("r")).select("source", F.col("r").alias("r"), (F.col("r") * depth).alias("s"))
+            near = near.unionByName(part) if depth > 1 else part  # the source itself, at depth 0, does not count
+        if len(layers) > 1:
+            part = materialize(near.groupBy("source").agg(F.sum("r").alias("r"), F.sum("s").alias("s")), "closeness")
+            parts = part if parts is None else parts.unionByName(part)
+        release(*layers)
+    if parts is None:
+        return g.vertices.select(F.col("id").alias("vertex"), F.lit(0.0).alias("score"))
     score = F.when(F.col("s").isNull(), 0.0).otherwise(F.col("r") * F.col("r") / (F.lit(float(max(n - 1, 1))) * F.col("s")))
-    return g.vertices.join(d, g.vertices["id"] == d["source"], "left").select(F.col("id").alias("vertex"), score.alias("score"))
+    return g.vertices.join(parts, g.vertices["id"] == parts["source"], "left").select(F.col("id").alias("vertex"), score.alias("score"))
 
 
-def betweenness_centrality(g: Projection) -> DataFrame:
-    """vertex, score: shares of shortest paths of all sources, path counts forward by layer and dependencies back; parallel edges multiply paths."""
-    e = materialize(g.edges.groupBy("src", "dst").agg(F.count("*").cast("double").alias("k")), "paths")
-    hops = materialize(_hops(g), "paths")
-    top = hops.agg(F.max("depth")).first()[0] or 0
-    sigma = [materialize(hops.where("depth = 0").select("source", "vertex", F.lit(1.0).alias("paths")), "paths")]
-    for depth in range(1, top + 1):
-        at = hops.where(F.col("depth") == depth).select("source", "vertex")
+def _dependencies(g: Projection, e: DataFrame, sources: DataFrame) -> DataFrame:
+    """vertex, d: the dependencies of these sources on each vertex, path counts forward by layer and shares back."""
+    layers = _hops(g, sources)
+    sigma = [materialize(layers[0].withColumn("paths", F.lit(1.0)), "paths")]
+    for at in layers[1:]:
         got = sigma[-1].join(e, F.col("vertex") == F.col("src")).groupBy("source", F.col("dst").alias("vertex")).agg(F.sum(F.col("paths") * F.col("k")).alias("paths"))
         sigma.append(materialize(got.join(at, ["source", "vertex"]), "paths"))
-    delta = sigma[top].select("source", "vertex", "paths", F.lit(0.0).alias("d"))
-    total = None
-    for depth in range(top, 0, -1):
+    release(*layers)
+    delta = sigma[-1].select("source", "vertex", "paths", F.lit(0.0).alias("d"))
+    total, written = None, []
+    for up in sigma[-2::-1]:
         part = delta.select("vertex", "d")
         total = part if total is None else total.unionByName(part)
         lower = delta.select("source", F.col("vertex").alias("dst"), ((1 + F.col("d")) / F.col("paths")).alias("x"))
-        up = sigma[depth - 1]
         got = up.join(e, up["vertex"] == e["src"]).join(lower, ["source", "dst"]).groupBy("source", "vertex").agg(F.sum(F.col("paths") * F.col("k") * F.col("x")).alias("d"))
         delta = materialize(up.join(got, ["source", "vertex"], "left").select("source", "vertex", "paths", F.coalesce("d", F.lit(0.0)).alias("d")), "paths")
+        written.append(delta)
     if total is None:
-        return g.vertices.select(F.col("id").alias("vertex"), F.lit(0.0).alias("score"))
+        return sigma[0].limit(0).select("vertex", F.lit(0.0).alias("d"))
+    out = materialize(total.groupBy("vertex").agg(F.sum("d").alias("d")), "betweenness")
+    release(*sigma, *written)
+    return out
+
+
+def betweenness_centrality(g: Projection) -> DataFrame:
+    """vertex, score: shares of shortest paths of all sources, part by part; parallel edges multiply paths."""
+    e = materialize(g.edges.groupBy("src", "dst").agg(F.count("*").cast("double").alias("k")), "paths")
+    total = None
+    for sources in _sources(g):
+        part = _dependencies(g, e, sources)
+        total = part if total is None else total.unionByName(part)
     total = total.groupBy("vertex").agg(F.sum("d").alias("d"))
     return g.vertices.join(total, g.vertices["id"] == total["vertex"], "left").select(F.col("id").alias("vertex"), F.coalesce("d", F.lit(0.0)).alias("score"))
 
@@ -307,7 +362,8 @@ def k_core(g: Projection) -> DataFrame:
     u = materialize(_undirected(g), "core-edges")
     state = materialize(g.vertices.select("id").join(u.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("core")), "id", "left").na.fill(0, ["core"]), "core")
     new = state
-    while True:
+    for n in count(1):
+        g.round(n)
         near = u.join(state.select(F.col("id").alias("b"), "core"), "b").groupBy("a", "core").agg(F.count("*").alias("n"))
         at_least = F.sum("n").over(W.partitionBy("a").orderBy(F.desc("core")))
         h = near.withColumn("m", F.least("core", at_least)).groupBy(F.col("a").alias("id")).agg(F.max("m").alias("h"))
@@ -329,7 +385,8 @@ def label_propagation(g: Projection, iterations: int = 20) -> DataFrame:
     g.rounds(iterations)
     u = materialize(_undirected(g), "labels")
     state = new = materialize(g.vertices.select("id", F.col("id").alias("label")), "labels")
-    for _ in range(iterations):
+    for i in range(iterations):
+        g.round(i + 1)
         votes = u.join(state.select(F.col("id").alias("b"), "label"), "b").groupBy("a", "label").agg(F.count("*").alias("n"))
         best = votes.groupBy(F.col("a").alias("id")).agg(F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("x")).select("id", (-F.col("x.l")).alias("new"))
         old, new = new, materialize(state.join(best, "id", "left").select("id", F.coalesce("new", "label").alias("label"), (F.col("new") != F.col("label")).alias("changed")), "labels")
@@ -391,7 +448,8 @@ def _extremes(g: Projection, at: int, e: DataFrame, begin: int, forward: bool) -
     """vertex, t: the earliest arrival from a vertex (forward), or the latest departure towards it."""
     near, far, leave, reach = ("src", "dst", "dep", "arr") if forward else ("dst", "src", "arr", "dep")
     best = frontier = both = materialize(g.vertices.where(F.col("id") == at).select(F.col("id").alias("vertex"), F.lit(begin).cast("bigint").alias("t")).distinct(), "timed")
-    while True:
+    for n in count(1):
+        g.round(n)
         usable = F.col(leave) >= F.col("t") if forward else F.col(leave) <= F.col("t")
         found = frontier.join(e, F.col("vertex") == F.col(near)).where(usable)
         found = found.groupBy(F.col(far).alias("vertex")).agg((F.min if forward else F.max)(reach).alias("new"))
@@ -522,7 +580,7 @@ CATALOG = {f.__name__: f for f in (bfs, dfs, bounded_sssp, bounded_apsp, strongl
 
 
 def run(name: str, g: Projection, **request) -> DataFrame:
-    """Run an algorithm of the catalog; unknown names are refused, and there are no others."""
+    """Run an algorithm of the catalog on a graph that is checked first; unknown names are refused, and there are no others."""
     if name not in CATALOG:
         raise AnalyticsError("INVALID-REQUEST", f"unknown algorithm {name!r}")
-    return CATALOG[name](g, **request)
+    return CATALOG[name](g.check(), **request)

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tempora.functions.expressions import Compiler, ExpressionError, Typed, tag_of
+from tempora.functions.lineage import materialize
 from tempora.model import LATEST, OPEN, Graph
 from tempora.operators import temporal
 from tempora.plans import ir
@@ -192,6 +193,7 @@ class Lowering:
             at = F.lit(self.known[p.source])
             near = lambda h: h.where(self._or_deleted(F.col(ends[0]) == at if len(ends) == 1 else (F.col("src") == at) | (F.col("dst") == at)))
         elif p.source in self.few:
+            left = materialize(left, "frontier")  # what is reached so far, so that hops do not repeat each other's plans
             near = lambda h: self._among(h, ends, left.select(F.col(f"`{p.source}`.`$id`").alias("@near")))
         edges = self._entities(p.relationship, "edge", p.scope, ["src", "dst", *(["edge_type"] if p.types else [])], None, self._with_types(p.types, near))
         src, dst, kind = (F.col(f"`@{p.relationship}.{c}`") for c in ("src", "dst", "edge_type"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tempora.model import Graph, PropertySpec
-from tempora.operators import analytics as A, temporal, write
+from tempora.functions.lineage import scratch
+from tempora.model import OPEN, Graph, PropertySpec
+from tempora.operators import adjacency, analytics as A, relational, temporal, write
+from tempora.operators.write import GraphWriter
 from tempora.plans import ir
 from tempora.plans.lower import Snapshot
 from tempora.session import GraphSession
 from tempora.sources import tables
+from tempora.streaming.ingest import ChangeFeed, Ingest
 
 V = tables.VALID_AT
 DAY = 86_400_000_000
@@ -50,7 +53,7 @@ _BOTH = f"WITH {_AV}, {_AE}, {_seen('av', 'vs')}, {_seen('ae', 'es')}"
 _ALL = f"WITH {_AV}, {_AE}"
 _CONTACTS = """c AS (SELECT event_id + 1 AS id, user_id + 1 AS src, CAST(json_extract_string(props, '$.k') AS BIGINT) + 1 AS dst, epoch_us(ts) AS dep,
  epoch_us(ts) + CAST(round(value * 1000000) AS BIGINT) AS arr, value AS w FROM events), n AS (SELECT src AS id FROM c UNION SELECT dst FROM c)"""
-_SMALL = "s AS (SELECT * FROM c WHERE src <= 40 AND dst <= 40), sn AS (SELECT src AS id FROM s UNION SELECT dst FROM s)"
+_PAIRS = "e AS (SELECT src, dst, count(*) AS k FROM c GROUP BY src, dst)"
 
 
 def activity(spark: SparkSession, d: str) -> tuple[GraphSession, dict]:
@@ -189,6 +192,26 @@ def expr_arith_bool(spark, d):
     return s.plan(ir.Project(ir.NodeScan("n"), exprs), snapshot=_at(spark, d))
 
 
+@query("expr_compare", f"""{_BOTH} SELECT id, id + 3 AS a, id + (-id) AS b, id <> 7 AS c, value <> 20.0 AS d, id <= 9 AS e, id >= 9 AS f, value <= 50.0 AS g, event_type >= 'purchase' AS h, event_type <> 'view' AS i,
+ TRUE AS j, CAST(NULL AS BOOLEAN) AS k, id + 1 AS l, event_type AS m, CAST(NULL AS BIGINT) AS n FROM vs""")
+def expr_compare(spark, d):
+    s, _ = activity(spark, d)
+    b, lit, i, v, t = ir.Binary, ir.Literal, prop("n", "id"), prop("n", "value"), prop("n", "event_type")
+    m = ir.MapOf((("p", b("+", i, lit(1))),))
+    exprs = items(
+        (i, "id"), (b("+", i, lit(3)), "a"), (b("+", i, ir.Unary("negate", i)), "b"), (b("<>", i, lit(7)), "c"), (b("<>", v, lit(20.0)), "d"),
+        (b("<=", i, lit(9)), "e"), (b(">=", i, lit(9)), "f"), (b("<=", v, lit(50.0)), "g"), (b(">=", t, lit("purchase")), "h"), (b("<>", t, lit("view")), "i"),
+        (b("<>", i, lit("7")), "j"), (b(">=", i, lit(None)), "k"), (ir.Property(m, "p"), "l"), (ir.Property(ir.MapOf((("q", t),)), "q"), "m"), (ir.Property(m, "absent"), "n"),
+    )
+    return s.plan(ir.Project(ir.NodeScan("n"), exprs), snapshot=_at(spark, d))
+
+
+@query("entity_shape", f"{_BOTH} SELECT r.id, r.src AS source, r.dst AS target, r.edge_type AS type, r.value, a.id AS vertex, 'User' AS labels, a.value AS score FROM es r JOIN vs a ON a.id = r.src JOIN vs b ON b.id = r.dst")
+def entity_shape(spark, d):
+    rows = ask(spark, d, "MATCH (a)-[r]->(b) RETURN r, a", ["r", "a"])
+    return rows.select("r.id", "r.source", "r.target", "r.type", "r.value", F.col("a.id").alias("vertex"), F.array_join("a.labels", ",").alias("labels"), F.col("a.value").alias("score"))
+
+
 # ---- joins
 
 def _keyed(spark, d) -> GraphSession:
@@ -292,6 +315,40 @@ def pattern_three_hop(spark, d):
     return shop(spark, d).query("MATCH (r:Region {name: 'ASIA'})<-[:IN_REGION]-(n:Nation)<-[:IN_NATION]-(c:Customer)-[:PLACED]->(o:Order) RETURN c.id, o.id").toDF("customer", "o")
 
 
+_LINES = "WITH l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem)"
+_TAIL = "JOIN l l2 ON l2.p = l1.p JOIN orders o2 ON o2.o_orderkey = l2.o JOIN customer c2 ON c2.c_custkey = o2.o_custkey JOIN nation n2 ON n2.n_nationkey = c2.c_nationkey JOIN nation m ON m.n_regionkey = n2.n_regionkey JOIN supplier s ON s.s_nationkey = m.n_nationkey"
+
+
+@query("traverse_four_hop", f"{_LINES} SELECT l1.p + 5000000001 AS p, c_custkey + 3000000001 AS c FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN l l1 ON l1.o = o_orderkey WHERE r_regionkey = 2")
+def traverse_four_hop(spark, d):
+    text = "MATCH (r:Region)<-[:IN_REGION]-(n:Nation)<-[:IN_NATION]-(c:Customer)-[:PLACED]->(o:Order)-[:CONTAINS]->(p:Part) WHERE r.id = $id RETURN p.id, c.id"
+    return shop(spark, d).query(text, {"id": tables.REGION + 3}).toDF("p", "c")
+
+
+@query("traverse_six_hop", f"{_LINES} SELECT s_suppkey + 4000000001 AS s, count(*) AS n FROM l l1 {_TAIL} WHERE l1.o = 7 GROUP BY s_suppkey")
+def traverse_six_hop(spark, d):
+    text = """MATCH (o:Order)-[:CONTAINS]->(p:Part)<-[:CONTAINS]-(q:Order)<-[:PLACED]-(c:Customer)-[:IN_NATION]->(n:Nation)-[:IN_REGION]->(r:Region)<-[:IN_REGION]-(m:Nation)<-[:IN_NATION]-(s:Supplier)
+     WHERE o.id = $id RETURN s.id"""
+    return shop(spark, d).query(text, {"id": tables.ORDER + 8}).toDF("s").groupBy("s").agg(F.count("*").alias("n"))
+
+
+@query("traverse_eight_hop", f"{_LINES} SELECT s_suppkey + 4000000001 AS s, count(*) AS n FROM orders o1 JOIN l l1 ON l1.o = o1.o_orderkey {_TAIL} WHERE o1.o_custkey = (SELECT min(o_custkey) FROM orders) GROUP BY s_suppkey")
+def traverse_eight_hop(spark, d):
+    text = """MATCH (a:Customer)-[:PLACED]->(o:Order)-[:CONTAINS]->(p:Part)<-[:CONTAINS]-(q:Order)<-[:PLACED]-(c:Customer)-[:IN_NATION]->(n:Nation)-[:IN_REGION]->(r:Region)<-[:IN_REGION]-(m:Nation)<-[:IN_NATION]-(s:Supplier)
+     WHERE a.id = $id RETURN s.id"""
+    first = spark.read.parquet(f"{d}/orders.parquet").agg(F.min("o_custkey")).first()[0]
+    return shop(spark, d).query(text, {"id": tables.CUSTOMER + first + 1}).toDF("s").groupBy("s").agg(F.count("*").alias("n"))
+
+
+@query("csr_neighbours", f"""{_BOTH}, p AS (SELECT src, dst, id, row_number() OVER (ORDER BY src, dst, id) - 1 AS place FROM es), v AS (SELECT src AS x FROM es UNION SELECT dst FROM es)
+ SELECT x AS vertex, (SELECT count(*) FROM es WHERE src < x) AS first, (SELECT count(*) FROM es WHERE src = x) AS degree, p.dst AS neighbor, p.id AS edge_id, p.place FROM v LEFT JOIN p ON p.src = x""")
+def csr_neighbours(spark, d):
+    v, t = tables.probe(spark, d)
+    edges = temporal.visible(tables.activity(spark, d).edges, v, t, ["src", "dst"])
+    a = adjacency.build(edges, scratch(spark, "adjacency"))
+    return a.offsets.join(a.neighbours, F.col("vertex") == F.col("anchor"), "left").select("vertex", "first", "degree", "neighbor", "edge_id", "place")
+
+
 @query("match_correlated", f"""{_BOTH} SELECT a.id AS a, b.id AS b, count(*) AS n FROM vs a JOIN es r ON a.id = r.src JOIN vs b ON b.id = r.dst JOIN es s ON b.id = s.src JOIN vs z ON z.id = s.dst
  WHERE r.edge_type = 'CLICK' AND s.edge_type = 'VIEW' GROUP BY a.id, b.id""")
 def match_correlated(spark, d):
@@ -398,7 +455,14 @@ def unwind_list(spark, d):
 @query("merge_dedupe", "SELECT DISTINCT id, src, dst FROM (SELECT user_id * 100 + CAST(json_extract_string(props, '$.k') AS BIGINT) + 1 AS id, user_id + 1 AS src, CAST(json_extract_string(props, '$.k') AS BIGINT) + 1 AS dst FROM events)")
 def merge_dedupe(spark, d):
     e = tables.activity(spark, d).edges.select("id", "src", "dst")
-    return e.where("src % 2 = 0").unionByName(e.where("src % 3 >= 0")).distinct().orderBy("id", "src", "dst")
+    return relational.merge([e.where("src % 2 = 0"), e, e.where("dst % 3 = 0")], "id", deduplicate=True)
+
+
+@query("merge_all", "SELECT k, x FROM (SELECT n_regionkey AS k, n_name AS x FROM nation UNION ALL SELECT r_regionkey, r_name FROM region UNION ALL SELECT nullif(n_regionkey, 1), n_name FROM nation)")
+def merge_all(spark, d):
+    n, r = spark.read.parquet(f"{d}/nation.parquet"), spark.read.parquet(f"{d}/region.parquet")
+    k = lambda df, c, x: df.select(F.col(c).alias("k"), F.col(x).alias("x"))
+    return relational.merge([k(n, "n_regionkey", "n_name"), k(r, "r_regionkey", "r_name"), k(n.withColumn("n_regionkey", F.nullif("n_regionkey", F.lit(1))), "n_regionkey", "n_name")], "k")
 
 
 @query("set_operations", f"{_BOTH} SELECT id FROM vs EXCEPT SELECT dst FROM es UNION ALL (SELECT src FROM es INTERSECT SELECT id FROM vs)")
@@ -411,30 +475,101 @@ def set_operations(spark, d):
 
 # ---- writes
 
-@query("conflict_check", f"""{_ALL}, m AS (SELECT id, version, valid_from, valid_to, tombstone FROM av WHERE tx_time BETWEEN 400 AND 500)
- SELECT id, version FROM m WHERE EXISTS (SELECT 1 FROM av c WHERE c.tx_time > {_TX} AND c.id = m.id AND (m.tombstone OR c.tombstone OR (m.valid_from < c.valid_to AND c.valid_from < m.valid_to)))""")
-def conflict_check(spark, d):
-    v = tables.activity(spark, d).vertices
-    m = v.where(F.col("tx_time").between(400, 500)).select("id", "version", "valid_from", "valid_to", "tombstone")
-    return write.conflicts(m, v, tables.probe(spark, d)[1]).select("id", "version")
-
-
-# The SQL of conflict_check stages 101 versions at any size; here all versions after the probe transaction are staged against what came between half of it and it.
-
-@query("conflict_check_all", f"""{_ALL}, m AS (SELECT id, version, valid_from, valid_to, tombstone FROM av WHERE tx_time > {_TX})
+@query("conflict_check", f"""{_ALL}, m AS (SELECT id, version, valid_from, valid_to, tombstone FROM av WHERE tx_time > {_TX})
  SELECT id, version FROM m WHERE EXISTS (SELECT 1 FROM av c WHERE c.tx_time > {_TX} // 2 AND c.tx_time <= {_TX} AND c.id = m.id AND (m.tombstone OR c.tombstone OR (m.valid_from < c.valid_to AND c.valid_from < m.valid_to)))""")
-def conflict_check_all(spark, d):
+def conflict_check(spark, d):
+    """All versions after the probe transaction, staged against what came between half of it and it."""
     v, t = tables.activity(spark, d).vertices, tables.probe(spark, d)[1]
     m = v.where(F.col("tx_time") > t).select("id", "version", "valid_from", "valid_to", "tombstone")
     return write.conflicts(m, v.where(F.col("tx_time") <= t), t // 2).select("id", "version")
 
 
-@query("ingest_idempotent", "SELECT event_id AS item, user_id AS user_id FROM events WHERE event_id % 5 <> 0 AND event_type <> 'error' UNION SELECT event_id, user_id FROM events WHERE event_id % 5 = 0")
+_STAGED = f"""sv AS (SELECT id, tx_time // 2 AS version, valid_from, valid_to, tombstone FROM av WHERE tx_time > {_TX}), se AS (SELECT id, tx_time // 2 AS version, valid_from, valid_to, tombstone, src, dst, edge_type FROM ae WHERE tx_time > {_TX}),
+ dv AS (SELECT id, max(tx_time) AS dead FROM av WHERE tx_time <= {_TX} AND tombstone GROUP BY id), lv AS (SELECT a.* FROM av a LEFT JOIN dv USING (id) WHERE tx_time <= {_TX} AND NOT tombstone AND (dead IS NULL OR tx_time >= dead)),
+ de AS (SELECT id, max(tx_time) AS dead FROM ae WHERE tx_time <= {_TX} AND tombstone GROUP BY id), le AS (SELECT a.* FROM ae a LEFT JOIN de USING (id) WHERE tx_time <= {_TX} AND NOT tombstone AND (dead IS NULL OR tx_time >= dead))"""
+
+
+def _identity_faults(kind: str, staged: str, live: str) -> str:
+    return f"""SELECT '{kind}' AS entity, id, 'PUT-AND-DELETE' AS fault FROM {staged} GROUP BY id HAVING bool_or(tombstone) AND bool_or(NOT tombstone)
+ UNION SELECT '{kind}', id, 'DUPLICATE-VERSION' FROM {staged} GROUP BY id, version HAVING count(*) > 1 UNION SELECT '{kind}', s.id, 'DUPLICATE-VERSION' FROM {staged} s JOIN {live} l ON l.id = s.id AND l.version = s.version WHERE NOT s.tombstone
+ UNION SELECT '{kind}', a.id, 'OVERLAPPING-VERSIONS' FROM {staged} a JOIN {staged} b ON a.id = b.id AND a.version < b.version AND NOT a.tombstone AND NOT b.tombstone AND a.valid_from < b.valid_to AND b.valid_from < a.valid_to"""
+
+
+#: Vertices of this graph stay valid once they are, so what is left of an end covers an edge from its first instant on.
+_COVER = """gone AS (SELECT DISTINCT id FROM sv WHERE tombstone), k AS (SELECT id, min(valid_from) AS f FROM (SELECT id, valid_from FROM lv WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT id, valid_from FROM sv WHERE NOT tombstone) GROUP BY id),
+ checked AS (SELECT id, src, dst, valid_from FROM se WHERE NOT tombstone UNION ALL SELECT id, src, dst, valid_from FROM le WHERE id NOT IN (SELECT id FROM se WHERE tombstone) AND (src IN (SELECT id FROM gone) OR dst IN (SELECT id FROM gone)))"""
+
+
+@query("overlay_validation", f"""{_ALL}, {_STAGED}, {_COVER} {_identity_faults('vertex', 'sv', 'lv')} UNION {_identity_faults('edge', 'se', 'le')}
+ UNION SELECT 'edge', id, 'ENDPOINTS' FROM (SELECT id, src, dst, edge_type FROM se WHERE NOT tombstone UNION ALL SELECT id, src, dst, edge_type FROM le WHERE id IN (SELECT id FROM se WHERE NOT tombstone)) GROUP BY id HAVING count(DISTINCT (src, dst, edge_type)) > 1
+ UNION SELECT 'edge', c.id, 'COVERAGE' FROM checked c LEFT JOIN k a ON a.id = c.src LEFT JOIN k b ON b.id = c.dst WHERE NOT coalesce(a.f <= c.valid_from AND b.f <= c.valid_from, FALSE)""")
+def overlay_validation(spark, d):
+    """All that speaks against committing what came after the probe transaction as one batch."""
+    g, t = tables.activity(spark, d), tables.probe(spark, d)[1]
+    until = lambda df: df.where(F.col("tx_time") <= t)
+    staged = lambda df, *more: df.where(F.col("tx_time") > t).select("id", F.expr("tx_time div 2").alias("version"), "valid_from", "valid_to", "tombstone", *more)
+    base = Graph(until(g.vertices), until(g.edges), g.vertex_properties, g.edge_properties)
+    return write.faults({"vertex": staged(g.vertices), "edge": staged(g.edges, "src", "dst", "edge_type")}, base).distinct()
+
+
+def _writer(spark, name: str, vertex: list[PropertySpec], edge: list[PropertySpec]) -> GraphWriter:
+    return GraphWriter(spark, scratch(spark, name), vertex, edge)
+
+
+@query("change_feed", f"""{_ALL}, l AS (SELECT 1 AS log_index, row_number() OVER (ORDER BY id, version) - 1 AS ordinal, id, version, tombstone FROM av WHERE tx_time <= {_TX} // 2 AND NOT tombstone
+ UNION ALL SELECT 2, row_number() OVER (ORDER BY id, version) - 1, id, version, tombstone FROM av WHERE tx_time > {_TX} // 2 AND tx_time <= {_TX})
+ SELECT CAST(log_index AS BIGINT) AS log_index, ordinal, 'vertex' AS entity, CASE WHEN tombstone THEN 'delete' ELSE 'put' END AS change_kind, id, version FROM l""")
+def change_feed(spark, d):
+    """The users' log through a store: loaded in two parts with a compaction after each, then read from the feed as it came."""
+    g, t = tables.activity(spark, d), tables.probe(spark, d)[1]
+    w = _writer(spark, "feed-store", g.vertex_properties, [])
+    feed, out, checkpoint = ChangeFeed(w), scratch(spark, "feed"), scratch(spark, "feed-checkpoint")
+
+    def follow() -> None:
+        feed.start(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/part={n}"), checkpoint).awaitTermination()
+
+    for rows in (g.vertices.where((F.col("tx_time") <= t // 2) & ~F.col("tombstone")), g.vertices.where((F.col("tx_time") > t // 2) & (F.col("tx_time") <= t))):
+        w.load("vertex", rows)
+        w.compact()
+        follow()
+    return spark.read.parquet(out).select("log_index", "ordinal", "entity", "change_kind", "id", "version")
+
+
+@query("ingest_idempotent", """WITH i AS (SELECT event_id AS item, user_id, event_type FROM events), b1 AS (SELECT item, 'a' AS x, 1 AS b FROM i WHERE item % 5 = 0), b2 AS (SELECT item, CASE WHEN item % 15 = 0 THEN 'z' ELSE 'a' END AS x, 2 AS b FROM i WHERE event_type <> 'error'),
+ r AS (SELECT b.item, b.x, b.b, coalesce(o.x, b.x) = b.x AS ok FROM (SELECT * FROM b1 UNION ALL SELECT * FROM b2) b LEFT JOIN b1 o ON o.item = b.item AND b.b = 2)
+ SELECT item, CAST(b AS BIGINT) AS batch, CASE WHEN ok THEN 'COMMITTED' ELSE 'REJECTED' END AS status, (SELECT count(*) FROM (SELECT item FROM b1 UNION SELECT item FROM b2)) AS vertices FROM r""")
 def ingest_idempotent(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("item"), "user_id", "event_type")
-    applied = e.where("item % 5 = 0")
-    batch = e.where("event_type <> 'error'").unionByName(e.where("item % 5 = 0"))
-    return applied.select("item", "user_id").unionByName(batch.join(applied.select("item"), "item", "left_anti").select("item", "user_id").distinct())
+    """Two batches with keys in common, some with other content, each sent twice: receipts, and what the store holds."""
+    e = spark.read.parquet(f"{d}/events.parquet").select((F.col("event_id") + 1).alias("id"), F.col("event_id").cast("string").alias("item_key"), F.lit(0).cast("bigint").alias("valid_from"), F.lit("a").alias("name"), "event_type")
+    w = _writer(spark, "ingest-store", [PropertySpec("name", "string")], [])
+    ingest = Ingest(w, scratch(spark, "receipts"))
+    one = e.where("event_type is not null and cast(item_key as bigint) % 5 = 0")
+    two = e.where("event_type <> 'error'").withColumn("name", F.expr("case when cast(item_key as bigint) % 15 = 0 then 'z' else 'a' end"))
+    for batch in (1, 1, 2, 2):
+        ingest.batch((one if batch == 1 else two).drop("event_type"), batch)
+    n = w.graph().vertices.count()
+    return ingest.receipts().select(F.col("item_key").cast("bigint").alias("item"), F.col("batch_id").alias("batch"), "status", F.lit(n).alias("vertices"))
+
+
+@query("write_statements", """SELECT CASE WHEN n_nationkey = 3 THEN 'renamed' ELSE n_name END AS name, CASE WHEN n_nationkey = 3 THEN 9 ELSE n_regionkey END AS value, CAST(NULL AS VARCHAR) AS other FROM nation WHERE n_nationkey <> 4
+ UNION ALL SELECT 'new', 77, NULL UNION ALL SELECT 'NATION_5', 2020, 'NATION_6'""")
+def write_statements(spark, d):
+    """CREATE of a vertex and an edge, SET and DELETE over a store of the nations, in and out of a transaction."""
+    n = spark.read.parquet(f"{d}/nation.parquet").select((F.col("n_nationkey") + 1).cast("bigint").alias("id"), F.lit(0).alias("valid_from"), F.lit(OPEN).alias("valid_to"), F.array(F.lit("Nation")).alias("labels"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("value"))
+    w = _writer(spark, "nations", [PropertySpec("name", "string"), PropertySpec("value", "integer")], [PropertySpec("since", "integer")])
+    w.load("vertex", n)
+    s = GraphSession(spark).attach_writer(w)
+    s.query("CREATE (n:Nation {name: 'new', value: 77}) VALID FROM 5")
+    s.query("MATCH (n {name: 'NATION_3'}) SET n.name = 'renamed', n.value = 9 VALID FROM 6")
+    s.query("BEGIN")
+    s.query("MATCH (n {name: 'NATION_4'}) DELETE n VALID FROM 8")
+    s.query("MATCH (a {name: 'NATION_5'}) MATCH (b {name: 'NATION_6'}) CREATE (a)-[r:NEAR {since: $y}]->(b) VALID FROM 7", {"y": 2020})
+    s.query("COMMIT")
+    s.query("BEGIN")
+    s.query("MATCH (n {name: 'NATION_7'}) DELETE n VALID FROM 8")
+    s.query("ROLLBACK")
+    nodes = s.query("MATCH (n:Nation) RETURN n.name, n.value").toDF("name", "value").withColumn("other", F.lit(None).cast("string"))
+    return nodes.unionByName(s.query("MATCH (a)-[r:NEAR]->(b) RETURN a.name, r.since, b.name").toDF("name", "value", "other"))
 
 
 # ---- graph algorithms
@@ -443,12 +578,6 @@ def contacts(spark, d) -> A.Projection:
     return A.Projection(*tables.contacts(spark, d))
 
 
-def small(spark, d) -> A.Projection:
-    _, e = tables.contacts(spark, d)
-    e = e.where("src <= 40 AND dst <= 40")
-    return A.Projection(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e)
-
-
 _UND = "u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM c WHERE src <> dst)"
 
 
@@ -490,37 +619,50 @@ def ga_bfs_depth(spark, d):
     return A.bfs(contacts(spark, d), 3, 6).select("vertex", "depth")
 
 
-_RELAX = """d({k}v, x) USING KEY ({k}v) AS ({start} UNION SELECT {dk}e.dst, min(d.x + e.w) FROM d JOIN s e ON e.src = d.v LEFT JOIN recurring.d AS o ON {ok}o.v = e.dst WHERE o.x IS NULL OR d.x + e.w < o.x GROUP BY {dk}e.dst)"""
+_RELAX = """d({k}v, x) USING KEY ({k}v) AS ({start} UNION SELECT {dk}e.dst, min(d.x + e.w) FROM d JOIN (SELECT src, dst, min(w) AS w FROM c GROUP BY src, dst) e ON e.src = d.v LEFT JOIN recurring.d AS o ON {ok}o.v = e.dst WHERE o.x IS NULL OR d.x + e.w < o.x GROUP BY {dk}e.dst)"""
 
 
-@query("ga_sssp", f"WITH RECURSIVE {_CONTACTS}, {_SMALL}, {_RELAX.format(k='', dk='', ok='', start='SELECT CAST(3 AS BIGINT), CAST(0 AS DOUBLE)')} SELECT v AS vertex, round(x, 6) AS distance FROM d")
+@query("ga_sssp", f"WITH RECURSIVE {_CONTACTS}, {_RELAX.format(k='', dk='', ok='', start='SELECT CAST(3 AS BIGINT), CAST(0 AS DOUBLE)')} SELECT v AS vertex, round(x, 6) AS distance FROM d")
 def ga_sssp(spark, d):
-    return A.bounded_sssp(small(spark, d), 3, "weight").withColumn("distance", F.round("distance", 6))
+    return A.run("bounded_sssp", contacts(spark, d), source=3, weight="weight").withColumn("distance", F.round("distance", 6))
 
 
-@query("ga_apsp", f"WITH RECURSIVE {_CONTACTS}, {_SMALL}, {_RELAX.format(k='r, ', dk='d.r, ', ok='o.r = d.r AND ', start='SELECT id, id, CAST(0 AS DOUBLE) FROM sn')} SELECT r AS source, v AS target, round(x, 6) AS distance FROM d")
+@query("ga_apsp", f"WITH RECURSIVE {_CONTACTS}, {_RELAX.format(k='r, ', dk='d.r, ', ok='o.r = d.r AND ', start='SELECT id, id, CAST(0 AS DOUBLE) FROM n')} SELECT r AS source, v AS target, round(x, 6) AS distance FROM d")
 def ga_apsp(spark, d):
-    return A.bounded_apsp(small(spark, d), "weight").withColumn("distance", F.round("distance", 6))
+    g = contacts(spark, d)
+    return A.bounded_apsp(g, "weight", max_pairs=g.vertices.count() ** 2).withColumn("distance", F.round("distance", 6))
+
 
+_SHOP_EDGES = """x AS (SELECT n_nationkey + 2000000001 AS a, n_regionkey + 1000000001 AS b FROM nation UNION ALL SELECT c_custkey + 3000000001, c_nationkey + 2000000001 FROM customer UNION ALL SELECT s_suppkey + 4000000001, s_nationkey + 2000000001 FROM supplier
+ UNION ALL SELECT o_custkey + 3000000001, o_orderkey + 6000000001 FROM orders UNION ALL SELECT DISTINCT l_orderkey + 6000000001, l_partkey + 5000000001 FROM lineitem), e AS (SELECT a, b FROM x UNION SELECT b, a FROM x),
+ n AS (SELECT r_regionkey + 1000000001 AS id FROM region UNION ALL SELECT n_nationkey + 2000000001 FROM nation UNION ALL SELECT c_custkey + 3000000001 FROM customer UNION ALL SELECT s_suppkey + 4000000001 FROM supplier UNION ALL SELECT p_partkey + 5000000001 FROM part UNION ALL SELECT o_orderkey + 6000000001 FROM orders)"""
 
-@query("ga_wcc", "SELECT n_nationkey + 2000000001 AS vertex, n_regionkey + 1000000001 AS component FROM nation UNION ALL SELECT r_regionkey + 1000000001, r_regionkey + 1000000001 FROM region UNION ALL SELECT c_custkey + 3000000001, n_regionkey + 1000000001 FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT s_suppkey + 4000000001, n_regionkey + 1000000001 FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+
+@query("ga_wcc", f"WITH RECURSIVE {_SHOP_EDGES}, w(v, c) USING KEY (v) AS (SELECT id, id FROM n UNION SELECT e.b, min(w.c) FROM w JOIN e ON e.a = w.v JOIN recurring.w AS o ON o.v = e.b WHERE w.c < o.c GROUP BY e.b) SELECT v AS vertex, c AS component FROM w")
 def ga_wcc(spark, d):
     g = tables.commerce(spark, d)
-    e = g.edges.where(F.col("edge_type").isin("IN_REGION", "IN_NATION")).select("id", "src", "dst")
-    v = g.vertices.where(F.exists("labels", lambda x: x.isin("Region", "Nation", "Customer", "Supplier"))).select("id")
-    return A.weakly_connected_components(A.Projection(v, e)).select("vertex", "component")
+    return A.weakly_connected_components(A.Projection(g.vertices.select("id"), g.edges.select("id", "src", "dst"))).select("vertex", "component")
 
 
-@query("ga_scc", f"WITH RECURSIVE {_CONTACTS}, {_SMALL}, t AS (SELECT * FROM s WHERE id % 7 = 0), tn AS (SELECT src AS id FROM t UNION SELECT dst FROM t), r(a, b) AS (SELECT id, id FROM tn UNION SELECT a, dst FROM r JOIN t ON src = b) SELECT x.a AS vertex, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
+@query("ga_scc", f"WITH RECURSIVE {_CONTACTS}, {_PAIRS}, r(a, b) AS (SELECT id, id FROM n UNION SELECT a, dst FROM r JOIN e ON src = b) SELECT x.a AS vertex, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
 def ga_scc(spark, d):
-    e = small(spark, d).edges.where("id % 7 = 0")
-    return A.strongly_connected_components(A.Projection(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e)).select("vertex", "component")
+    return A.strongly_connected_components(contacts(spark, d)).select("vertex", "component")
+
 
+#: Hops and numbers of shortest paths of all pairs; parallel edges multiply paths.
+_HOPS = """h(r, v, k, p) USING KEY (r, v) AS (SELECT id, id, CAST(0 AS BIGINT), CAST(1 AS DOUBLE) FROM n UNION SELECT h.r, e.dst, h.k + 1, sum(h.p * e.k) FROM h JOIN e ON e.src = h.v LEFT JOIN recurring.h AS o ON o.r = h.r AND o.v = e.dst WHERE o.v IS NULL GROUP BY h.r, e.dst, h.k)"""
 
-@query("ga_closeness", f"""WITH RECURSIVE {_CONTACTS}, {_SMALL}, h(r, v, k) AS (SELECT id, id, 0 FROM sn UNION SELECT r, e.dst, k + 1 FROM h JOIN (SELECT DISTINCT src, dst FROM s) e ON e.src = h.v WHERE k < 12),
- m AS (SELECT r, v, min(k) AS k FROM h WHERE r <> v GROUP BY r, v), z AS (SELECT r, count(*) AS n, sum(k) AS t FROM m GROUP BY r) SELECT id AS vertex, round(CASE WHEN t IS NULL THEN 0.0 ELSE n * n / (CAST((SELECT count(*) - 1 FROM sn) AS DOUBLE) * t) END, 9) AS score FROM sn LEFT JOIN z ON r = id""")
+
+@query("ga_closeness", f"""WITH RECURSIVE {_CONTACTS}, {_PAIRS}, {_HOPS}, z AS (SELECT r, count(*) AS n, sum(k) AS t FROM h WHERE r <> v GROUP BY r)
+ SELECT id AS vertex, round(CASE WHEN t IS NULL THEN 0.0 ELSE z.n * z.n / (CAST((SELECT count(*) - 1 FROM n) AS DOUBLE) * t) END, 9) AS score FROM n LEFT JOIN z ON r = id""")
 def ga_closeness(spark, d):
-    return A.closeness_centrality(small(spark, d)).withColumn("score", F.round("score", 9))
+    return A.closeness_centrality(contacts(spark, d)).withColumn("score", F.round("score", 9))
+
+
+@query("ga_betweenness", f"""WITH RECURSIVE {_CONTACTS}, {_PAIRS}, {_HOPS}, b AS (SELECT a.v, sum(a.p * b.p / t.p) AS s FROM h a JOIN h b ON b.r = a.v JOIN h t ON t.r = a.r AND t.v = b.v WHERE a.r <> a.v AND b.v <> b.r AND a.k + b.k = t.k GROUP BY a.v)
+ SELECT id AS vertex, round(coalesce(s, 0.0), 4) AS score FROM n LEFT JOIN b ON v = id""")
+def ga_betweenness(spark, d):
+    return A.betweenness_centrality(contacts(spark, d)).withColumn("score", F.round("score", 4))
 
 
 _ARRIVE = f"ok AS (SELECT * FROM c WHERE dep >= {START} AND arr >= dep AND arr <= {END}), a(v, t) AS (SELECT CAST(3 AS BIGINT), CAST({START} AS BIGINT) UNION SELECT ok.dst, ok.arr FROM a JOIN ok ON ok.src = a.v AND ok.dep >= a.t)"
@@ -553,40 +695,27 @@ def ga_pagerank(spark, d):
     return A.page_rank(contacts(spark, d), 6).withColumn("score", F.round("score", 9))
 
 
-@query("ga_betweenness")
-def ga_betweenness(spark, d):
-    return A.betweenness_centrality(contacts(spark, d)).withColumn("score", F.round("score", 6))
-
-
-# The SQL of ga_sssp, ga_apsp, ga_scc and ga_closeness is of a part of the contacts; these are of all of them.
-
-@query("ga_sssp_all")
-def ga_sssp_all(spark, d):
-    return A.bounded_sssp(contacts(spark, d), 3, "weight").withColumn("distance", F.round("distance", 6))
-
-
-@query("ga_apsp_all")
-def ga_apsp_all(spark, d):
-    g = contacts(spark, d)
-    return A.bounded_apsp(g, "weight", max_pairs=g.vertices.count() ** 2).withColumn("distance", F.round("distance", 6))
-
-
-@query("ga_scc_all")
-def ga_scc_all(spark, d):
-    return A.strongly_connected_components(contacts(spark, d)).select("vertex", "component")
-
-
-@query("ga_closeness_all")
-def ga_closeness_all(spark, d):
-    return A.closeness_centrality(contacts(spark, d)).withColumn("score", F.round("score", 9))
+def _core_sql(rounds: int) -> str:
+    """Core numbers: h-indices of the neighbours' values, from the degrees down."""
+    parts = [f"WITH {_CONTACTS}, {_UND}, w AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u), k0 AS (SELECT id, count(b) AS k FROM n LEFT JOIN w ON a = id GROUP BY id)"]
+    for i in range(1, rounds + 1):
+        parts.append(f"k{i} AS MATERIALIZED (SELECT k.id, least(k.k, coalesce(max(least(x.k, x.i)), 0)) AS k FROM k{i - 1} k LEFT JOIN (SELECT w.a, y.k, row_number() OVER (PARTITION BY w.a ORDER BY y.k DESC) AS i FROM w JOIN k{i - 1} y ON y.id = w.b) x ON x.a = k.id GROUP BY k.id, k.k)")
+    return ", ".join(parts) + f" SELECT id AS vertex, CAST(k AS INTEGER) AS core FROM k{rounds}"
 
 
-@query("ga_kcore")
+@query("ga_kcore", _core_sql(24))
 def ga_kcore(spark, d):
     return A.k_core(contacts(spark, d))
 
 
-@query("ga_lpa")
+def _label_sql(rounds: int) -> str:
+    parts = [f"WITH {_CONTACTS}, {_UND}, w AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u), l0 AS (SELECT id, id AS l FROM n)"]
+    for i in range(1, rounds + 1):
+        parts.append(f"l{i} AS MATERIALIZED (SELECT p.id, coalesce(x.l, p.l) AS l FROM l{i - 1} p LEFT JOIN (SELECT a, l FROM (SELECT w.a, q.l, row_number() OVER (PARTITION BY w.a ORDER BY count(*) DESC, q.l) AS i FROM w JOIN l{i - 1} q ON q.id = w.b GROUP BY w.a, q.l) WHERE i = 1) x ON x.a = p.id)")
+    return ", ".join(parts) + f" SELECT id AS vertex, dense_rank() OVER (ORDER BY l) AS community FROM l{rounds}"
+
+
+@query("ga_lpa", _label_sql(6))
 def ga_lpa(spark, d):
     return A.label_propagation(contacts(spark, d), 6)
 

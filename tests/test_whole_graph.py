@@ -60,15 +60,15 @@ def scores(spark, name):
 
 
 def test_paths(spark, distances):
-    got = {r.vertex: r.distance for r in QUERIES["ga_sssp_all"](spark, SF).collect()}
+    got = {r.vertex: r.distance for r in QUERIES["ga_sssp"](spark, SF).collect()}
     assert got.keys() == distances[3].keys() and all(math.isclose(got[v], x, abs_tol=1e-5) for v, x in distances[3].items())
-    got = {(r.source, r.target): r.distance for r in QUERIES["ga_apsp_all"](spark, SF).collect()}
+    got = {(r.source, r.target): r.distance for r in QUERIES["ga_apsp"](spark, SF).collect()}
     want = {(s, v): x for s, d in distances.items() for v, x in d.items()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], x, abs_tol=1e-5) for k, x in want.items())
 
 
 def test_components(spark, contacts, distances):
-    got = {r.vertex: r.component for r in QUERIES["ga_scc_all"](spark, SF).collect()}
+    got = {r.vertex: r.component for r in QUERIES["ga_scc"](spark, SF).collect()}
     assert got == {v: min(u for u in distances[v] if v in distances[u]) for v in contacts[0]}
 
 
@@ -85,6 +85,6 @@ def test_centrality(spark, contacts):
                 dep[u] += paths[u] * k / paths[v] * (1 + dep[v])
             if v != s:
                 between[v] += dep[v]
-    for name, want in (("ga_closeness_all", close), ("ga_betweenness", between)):
+    for name, want in (("ga_closeness", close), ("ga_betweenness", between)):
         got = scores(spark, name)
         assert got.keys() == want.keys() and all(math.isclose(got[v], x, abs_tol=1e-5) for v, x in want.items())
