@@ -18,7 +18,7 @@ from tempora.operators.write import GraphWriter, TransactionError
 from tempora.sources.files import Folder
 
 #: Folders that receipts are dealt to by the hash of their key, so that a batch meets those of its keys only.
-BUCKETS = 64
+BUCKETS = 16
 
 
 class Ingest:
@@ -60,7 +60,7 @@ class Ingest:
             tx = self.writer.commit([self.writer.rows("vertex", rows)], key=f"{self.path}#{batch_id}", limit=None)["tx_time"]
         ok = F.coalesce(F.col("had"), F.col("first")) == F.col("digest")
         out = judged.select("item_key", "digest", F.when(ok, "COMMITTED").otherwise("REJECTED").alias("status"), F.lit(tx).cast("bigint").alias("tx_time"), "bucket").distinct()
-        out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch_id={batch_id}")
+        out.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch_id={batch_id}")
         release(items, fresh)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger):

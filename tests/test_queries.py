@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from tempora.queries import QUERIES, SQL
+from tempora.sources.tables import contacts
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,4 +33,18 @@ def test_rows_equal_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_rows_without_sql(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    """Traversals, communities and paths: what holds of any right result."""
+    edges = contacts(spark, SF)[1].select("id", "src", "dst").collect()
+    vertices = {v for e in edges for v in (e.src, e.dst)}
+    rows = QUERIES[name](spark, SF).collect()
+    assert rows
+    if name == "ga_louvain":
+        assert {r.vertex for r in rows} == vertices and {r.community for r in rows} == set(range(1, len({r.community for r in rows}) + 1))
+    elif name == "ga_dfs":
+        order = [r.vertex for r in sorted(rows, key=lambda r: r.position)]
+        assert order[0] == 3 and len(set(order)) == len(order) and [r.position for r in sorted(rows, key=lambda r: r.position)] == list(range(len(rows)))
+        assert all(any((e.src, e.dst) == (u, v) for e in edges for u in order[:i]) for i, v in enumerate(order) if i)
+    else:
+        ends = {e.id: (e.src, e.dst) for e in edges}
+        path = sorted(rows, key=lambda r: r.position)
+        assert path[0].vertex == 3 and all(ends[b.edge_id] == (a.vertex, b.vertex) for a, b in zip(path, path[1:]))
