@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, as it leaves them;
 the last returns packed pieces. run() writes each stage's result as Parquet below the shared
 folder and reads it back for the next.
+
+What odd inputs give, stage by stage. Null or letterless text: rejected by language (by quality as
+well, for having no words; near duplicates take it as fingerprint zero, personal data leaves it null,
+packing gives it its end alone). Empty table: no rows. Very long texts: whole in every stage. Repeated
+rows: one of them is kept by near duplicates, each of them by the others. Ties: the least id of a group
+stays. Extra columns, whatever their names: carried as they are by all stages but the last, which
+returns pieces only.
 """
 
 from __future__ import annotations
