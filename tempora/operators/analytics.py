@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tempora.functions.components import components
 from tempora.functions.lineage import materialize, numbered, release
+from tempora.operators import temporal
 
 
 class AnalyticsError(ValueError):
@@ -548,8 +549,8 @@ def temporal_motif(g: Projection, departure: str, arrival: str, start: int, end:
     first = e.where((F.col("dep") >= start) & (F.col("arr") >= F.col("dep")) & (F.col("arr") <= end)).groupBy(F.col("dst").alias("m"), F.col("arr").alias("t")).agg(F.count("*").alias("ins"), F.lit(0).cast("bigint").alias("outs"))
     second = e.where(F.col("arr") <= end).groupBy(F.col("src").alias("m"), F.col("dep").alias("t")).agg(F.lit(0).cast("bigint").alias("ins"), F.count("*").alias("outs"))
     both = first.unionByName(second).groupBy("m", "t").agg(F.sum("ins").alias("ins"), F.sum("outs").alias("outs"))
-    before = F.sum("ins").over(W.partitionBy("m").orderBy("t").rowsBetween(W.unboundedPreceding, 0))
-    return both.withColumn("before", before).agg(F.coalesce(F.sum(F.col("before") * F.col("outs")), F.lit(0)).cast("bigint").alias("count"))
+    both = temporal.running(both, "m", ["t"], "before", F.col("ins"), "sum", inclusive=True)
+    return both.agg(F.coalesce(F.sum(F.col("before") * F.col("outs")), F.lit(0)).cast("bigint").alias("count"))
 
 
 def change_point(g: Projection, event_time: str, signal: str, threshold: float = 0.0) -> DataFrame:

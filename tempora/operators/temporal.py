@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tempora.functions.lineage import materialize
+
+#: Rows of a key above which its running folds are made in ranges, side by side.
+HOT = 1 << 20
+
 
 def _rank() -> Column:
     """What the winning version of an identity has most of: late in transaction time, high version, then a put, then early in the log."""
@@ -109,13 +114,32 @@ def overlaps(a_from: Column, a_to: Column, b_from: Column, b_to: Column) -> Colu
     return (a_from < b_to) & (b_from < a_to)
 
 
+def running(rows: DataFrame, by: str, order: list[str], name: str, value: Column, fold: str, inclusive: bool = False) -> DataFrame:
+    """rows with name: the fold (max or sum) of value over the rows of the key that come before in order, inclusive: this one too.
+
+    One window per key, unless a key has more than HOT rows: then rows are cut in ranges of key and order, and each range goes on
+    from the fold of those before it, so that no task holds a key's rows.
+    """
+    f = {"max": F.max, "sum": F.sum}[fold]
+    span = lambda w: w.orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    if rows.groupBy(by).count().where(F.col("count") > HOT).isEmpty():
+        return rows.withColumn(name, f(value).over(span(W.partitionBy(by))))
+    cut = materialize(rows.withColumn("_value", value).repartitionByRange(by, *order).withColumn("_range", F.spark_partition_id()), "running")
+    near = f("_value").over(span(W.partitionBy(by, "_range")))
+    far = cut.groupBy(by, "_range").agg(f("_value").alias("_all"))
+    far = far.withColumn("_far", f("_all").over(W.partitionBy(by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)))  # a row per range
+    both = cut.withColumn("_near", near).join(far.select(by, "_range", "_far"), [by, "_range"])
+    joined = F.greatest("_near", "_far") if fold == "max" else F.when(F.col("_near").isNotNull() | F.col("_far").isNotNull(), F.coalesce("_near", F.lit(0)) + F.coalesce("_far", F.lit(0)))
+    return both.withColumn(name, joined).select(*rows.columns, name)
+
+
 def islands(intervals: DataFrame, key: str = "id") -> DataFrame:
     """The gapless unions of each key's intervals, as key, island_from, island_to."""
-    w = W.partitionBy(key).orderBy("valid_from", "valid_to")
-    reach = F.max("valid_to").over(w.rowsBetween(W.unboundedPreceding, -1))
-    rows = intervals.select(key, "valid_from", "valid_to").withColumn("opens", (reach.isNull() | (F.col("valid_from") > reach)).cast("int"))
-    rows = rows.withColumn("island", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.groupBy(key, "island").agg(F.min("valid_from").alias("island_from"), F.max("valid_to").alias("island_to")).drop("island")
+    order = ["valid_from", "valid_to"]
+    rows = running(intervals.select(key, *order), key, order, "reach", F.col("valid_to"), "max")
+    opens = F.when(F.col("reach").isNull() | (F.col("valid_from") > F.col("reach")), F.col("valid_from"))
+    rows = running(rows.withColumn("opens", opens).drop("reach"), key, order, "island_from", F.col("opens"), "max", inclusive=True)
+    return rows.groupBy(key, "island_from").agg(F.max("valid_to").alias("island_to"))
 
 
 def covered(edges: DataFrame, vertices: DataFrame) -> DataFrame:

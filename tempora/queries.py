@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tempora.functions.lineage import scratch
@@ -422,7 +424,7 @@ _NULLED = "SELECT id, nullif(event_type, 'view') AS t, value FROM vs"
 
 def _nulled(spark, d) -> tuple[GraphSession, Snapshot]:
     g = tables.activity(spark, d)
-    g.vertices = g.vertices.withColumn("event_type", F.nullif(F.col("event_type"), F.lit("view")))
+    g = replace(g, vertices=g.vertices.withColumn("event_type", F.nullif(F.col("event_type"), F.lit("view"))))
     return GraphSession(spark, g), _at(spark, d)
 
 

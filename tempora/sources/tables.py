@@ -1,7 +1,9 @@
-"""Graphs over the supplied tables."""
+"""Graphs over the supplied tables. They are put together once per session and folder, whose files are taken not to change."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tempora.model import OPEN, Graph, PropertySpec
@@ -19,6 +21,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("ts_us", _micros("ts")).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
 
 
+@lru_cache(maxsize=16)
 def activity(spark: SparkSession, d: str) -> Graph:
     """Users with a version per event; edges from users to keys, valid for a week; some errors are deletes."""
     e = _events(spark, d)
@@ -39,6 +42,7 @@ def activity(spark: SparkSession, d: str) -> Graph:
     return Graph(v, g, [PropertySpec("value", "float"), PropertySpec("event_type", "string")], [PropertySpec("value", "float")])
 
 
+@lru_cache(maxsize=16)
 def contacts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The events as a static directed multigraph with times: vertices (id) and edges."""
     e = _events(spark, d)
@@ -70,6 +74,7 @@ def _edge(df: DataFrame, identity: Column, src: Column, dst: Column, kind: str,
 REGION, NATION, CUSTOMER, SUPPLIER, PART, ORDER = (k * 1_000_000_000 for k in range(1, 7))
 
 
+@lru_cache(maxsize=16)
 def commerce(spark: SparkSession, d: str) -> Graph:
     """Regions, nations, customers, suppliers, parts and orders with what connects them."""
     t = {n: spark.read.parquet(f"{d}/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
@@ -104,5 +109,6 @@ def commerce(spark: SparkSession, d: str) -> Graph:
 VALID_AT = 1_705_276_800_000_000
 
 
+@lru_cache(maxsize=16)
 def probe(spark: SparkSession, d: str) -> tuple[int, int]:
     return VALID_AT, spark.read.parquet(f"{d}/events.parquet").count() * 7 // 10

@@ -45,6 +45,27 @@ def test_islands(spark, intervals):
     assert all(x[0] != y[0] or x[2] < y[1] for x, y in zip(spans, spans[1:]))
 
 
+def test_keys_of_any_size(spark, monkeypatch):
+    """Running folds of hot keys, cut in ranges, equal those in one window; islands and counts that are made from them too."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 1, 2, 3]), a := rng.randrange(400), a + rng.randint(1, 6)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, valid_from bigint, valid_to bigint").repartition(3)
+    edges = spark.createDataFrame([(k, i, rng.choice([1, 1, 2]), a, b) for k, (i, a, b) in enumerate(rows)], "id bigint, src bigint, dst bigint, dep bigint, arr bigint")
+    g = analytics.Projection(spark.createDataFrame([(1,), (2,), (3,)], "id bigint"), edges)
+
+    def results():
+        folds = [sorted(map(str, temporal.running(df, "id", ["valid_from", "valid_to"], "x", F.col("valid_to"), f, inc).collect())) for f in ("max", "sum") for inc in (False, True)]
+        return folds, sorted(map(tuple, temporal.islands(df).collect())), analytics.temporal_motif(g, "dep", "arr", 0, 500).first()[0]
+
+    want = results()
+    monkeypatch.setattr(temporal, "HOT", 5)
+    assert results() == want
+
+
 @FEW
 @given(st.lists(st.tuples(st.integers(1, 9), st.integers(1, 9)), min_size=1, max_size=14))
 def test_weak_components(spark, pairs):
