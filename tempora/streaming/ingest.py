@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import threading
 from collections.abc import Callable, Iterator
-from concurrent.futures import Future, ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from tempora.functions.lineage import materialize, release
 from tempora.model import OPEN
-from tempora.operators import analytics, temporal
+from tempora.operators import temporal
 from tempora.operators.write import GraphWriter, TransactionError
 from tempora.sources.files import Folder
 
@@ -121,52 +119,4 @@ class ChangeFeed:
         return files.mapInArrow(_rows_of_folders(to_arrow_schema(schema)), schema)
 
 
-class Jobs:
-    """Algorithms as jobs: submitted once per request id, run in the background, results written as Parquet, cancelled by job group."""
-
-    def __init__(self, spark: SparkSession, path: str, workers: int = 2):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.pool, self.lock = ThreadPoolExecutor(workers), threading.Lock()
-        self.jobs: dict[str, tuple[Future, list[str]]] = {}
-
-    def submit(self, request_id: str, name: str, graph: analytics.Projection, **request) -> str:
-        """The same request id gives the same job, however often it is submitted."""
-        if name not in analytics.CATALOG:
-            raise analytics.AnalyticsError("INVALID-REQUEST", f"unknown algorithm {name!r}")
-        with self.lock:
-            if request_id not in self.jobs:
-                state = ["QUEUED"]
-                self.jobs[request_id] = (self.pool.submit(self._run, request_id, state, name, graph, request), state)
-        return request_id
-
-    def _run(self, request_id: str, state: list[str], name: str, graph: analytics.Projection, request: dict) -> None:
-        if state[0] == "CANCELLED":
-            return
-        state[0] = "RUNNING"
-        self.spark.sparkContext.setJobGroup(request_id, name, interruptOnCancel=True)
-        try:
-            analytics.run(name, graph, **request).write.mode("overwrite").parquet(f"{self.path}/{request_id}")
-            state[0] = "SUCCEEDED"
-        except Exception:
-            state[0] = "CANCELLED" if state[0] == "CANCELLED" else "FAILED"
-            raise
-
-    def status(self, request_id: str) -> str:
-        return self.jobs[request_id][1][0]
-
-    def cancel(self, request_id: str) -> None:
-        future, state = self.jobs[request_id]
-        if state[0] in ("QUEUED", "RUNNING"):
-            state[0] = "CANCELLED"
-            self.spark.sparkContext.cancelJobGroup(request_id)
-            future.cancel()
-
-    def result(self, request_id: str, timeout: float | None = None) -> DataFrame:
-        future, state = self.jobs[request_id]
-        future.result(timeout)
-        if state[0] != "SUCCEEDED":
-            raise analytics.AnalyticsError("INVALID-REQUEST", f"the job is {state[0]}")
-        return self.spark.read.parquet(f"{self.path}/{request_id}")
-
-
-__all__ = ["ChangeFeed", "Ingest", "Jobs", "TransactionError"]
+__all__ = ["ChangeFeed", "Ingest", "TransactionError"]

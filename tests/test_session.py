@@ -129,7 +129,8 @@ def test_writes(spark, tmp_path):
 def test_snapshots_stream_and_jobs(spark, tmp_path, session):
     from tempora.operators.analytics import Projection
     from tempora.sources.store import StoreSource, export_snapshot, import_snapshot
-    from tempora.streaming.ingest import Ingest, Jobs
+    from tempora.streaming.ingest import Ingest
+    from tempora.streaming.jobs import Jobs
 
     export_snapshot(session.default, f"file://{tmp_path}/snap")
     g = import_snapshot(spark, f"file://{tmp_path}/snap", session.default.vertex_properties, [])
