@@ -104,15 +104,25 @@ class GraphWriter:
 
     def manifest(self) -> dict:
         names = [n for n in self.folder.names("manifests") if n.endswith(".json")]
-        return self.folder.read(f"manifests/{names[-1]}") if names else {"number": 0, "tx_time": 0, "log_index": 0, "batches": {"vertex": [], "edge": []}, "added": {"vertex": [], "edge": []}, "key": None}
+        return self.folder.read(f"manifests/{names[-1]}") if names else self.nothing()
+
+    @staticmethod
+    def nothing() -> dict:
+        """The manifest of a store without commits."""
+        return {"number": 0, "tx_time": 0, "log_index": 0, "batches": {"vertex": [], "edge": []}, "added": {"vertex": [], "edge": []}, "key": None}
+
+    def frontier(self) -> int:
+        """Where a transaction starts: the last commit's time. All that is committed up to it is there, and what comes later has a later time."""
+        return self.manifest()["tx_time"]
 
     def _history(self, kind: str, manifest: dict) -> DataFrame:
         schema = self.empty.schema_of(kind)
         paths = [f"{self.path}/{kind}/{b}" for b in manifest["batches"][kind]]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def graph(self) -> Graph:
-        m = self.manifest()
+    def graph(self, manifest: dict | None = None) -> Graph:
+        """What the last manifest holds, or the one given."""
+        m = manifest or self.manifest()
         return Graph(self._history("vertex", m), self._history("edge", m), self.empty.vertex_properties, self.empty.edge_properties, m["log_index"], fixed_types=True)
 
     # -- writing
@@ -129,7 +139,7 @@ class GraphWriter:
     def _key_file(key: str) -> str:
         return f"keys/{hashlib.sha256(key.encode()).hexdigest()}.json"
 
-    def _receipt(self, key: str, last: dict) -> dict | None:
+    def receipt(self, key: str, last: dict) -> dict | None:
         """What was committed under a key; the last manifest's key gets its file if that is missing."""
         if last["key"] is not None and not self.folder.exists(self._key_file(last["key"])):
             self.folder.publish(self._key_file(last["key"]), {"number": last["number"], "tx_time": last["tx_time"]})
@@ -139,13 +149,15 @@ class GraphWriter:
         """Commit rows that are known to be right, of any number, without the checks of a transaction."""
         return self.commit([self.rows(kind, rows)], limit=None, trusted=True)
 
-    def commit(self, mutations: list[tuple[str, DataFrame]], start_tx: int | None = None, key: str | None = None, limit: int | None = MAX_MUTATIONS, trusted: bool = False) -> dict:
-        """Check and commit; gives the receipt. A key that was committed before changes nothing. limit: mutations at most; trusted: unchecked."""
+    def commit(self, mutations: list[tuple[str, DataFrame]], start_tx: int | None = None, key: str | None = None, limit: int | None = MAX_MUTATIONS, trusted: bool = False, log_index: int | None = None) -> dict:
+        """Check and commit; gives the receipt. A key that was committed before changes nothing. limit: mutations at most; trusted: unchecked; log_index: the place in the log that it must get."""
         m = self.manifest()
-        known = self._receipt(key or "", m)
+        known = self.receipt(key or "", m)
         if key is not None and known is not None:
             return known | {"replayed": True}
-        g = self.graph()
+        if log_index not in (None, m["log_index"] + 1):
+            raise TransactionError("CONFLICT", "another commit was first")
+        g = self.graph(m)
         staged: dict[str, DataFrame] = {}
         for kind in ("vertex", "edge"):
             parts = [df for k, df in mutations if k == kind]
@@ -160,7 +172,7 @@ class GraphWriter:
         for kind, df in staged.items() if not trusted else ():
             if not df.where(~F.col("tombstone") & (F.col("valid_from") >= F.col("valid_to"))).isEmpty():
                 raise TransactionError("INTERVAL", "a version that ends before it starts")
-            if start_tx is not None and not conflicts(df, g.history(kind), start_tx).isEmpty():
+            if start_tx is not None and start_tx < m["tx_time"] and not conflicts(df, g.history(kind), start_tx).isEmpty():
                 raise TransactionError("CONFLICT", "another commit was first")
         if not trusted and (fault := faults(staged, g).first()):
             raise TransactionError(fault["fault"], f"{fault['entity']} {fault['id']}")
@@ -187,18 +199,48 @@ class GraphWriter:
 
     def compact(self) -> dict:
         """Rewrite all batches as one per kind, by ranges of identity, so that a point read skips row groups. Nothing that is read changes."""
-        m, g, name = self.manifest(), self.graph(), uuid.uuid4().hex
+        m, name = self.manifest(), uuid.uuid4().hex
+        g = self.graph(m)
         batches: dict[str, list[str]] = {"vertex": [], "edge": []}
         for kind in batches:
             if m["batches"][kind]:
                 g.history(kind).repartitionByRange("id").sortWithinPartitions("id", "tx_time", "version").write.parquet(f"{self.path}/{kind}/{name}")
                 batches[kind] = [name]
-        self._receipt("", m)
+        self.receipt("", m)
         new = m | {"number": m["number"] + 1, "batches": batches, "added": {"vertex": [], "edge": []}, "key": None}
         if not self.folder.publish(f"manifests/{new['number']:012d}.json", new):
             raise TransactionError("CONFLICT", "another commit was first")
         return new
 
+    def restore(self, g: Graph) -> dict:
+        """The first manifest of a new store: histories with the times and places in the log that they have already."""
+        name, tops = uuid.uuid4().hex, []
+        for kind in ("vertex", "edge"):
+            rows = g.history(kind).select(*self.empty.schema_of(kind).names)
+            rows.repartitionByRange("id").sortWithinPartitions("id", "tx_time", "version").write.parquet(f"{self.path}/{kind}/{name}")
+            tops.append(self.spark.read.parquet(f"{self.path}/{kind}/{name}").agg(F.max("tx_time"), F.max("log_index")).first())
+        top = [max((t[i] or 0 for t in tops), default=0) for i in (0, 1)]
+        both = {"vertex": [name], "edge": [name]}
+        new = self.nothing() | {"number": 1, "tx_time": top[0], "log_index": max(top[1], g.max_log_index or 0), "batches": both, "added": both}
+        if not self.folder.publish(f"manifests/{1:012d}.json", new):
+            raise TransactionError("CONFLICT", "the store is not new")
+        return new
+
+    def vacuum(self, through: int = 0, grace: float = 86_400.0) -> list[str]:
+        """Remove batches that nothing reads: those of no manifest, left by writers that died, and those that only manifests up to a number name, which every feed has passed.
+
+        Younger ones than grace seconds stay, as their commit may be under way, and so do those of open reads and of the last manifest.
+        """
+        numbers = [n for n in self.folder.names("manifests") if n.endswith(".json")]
+        kept = {n for n in numbers if int(n[:-5]) > through} | set(numbers[-1:])
+        manifests = {n: self.folder.read(f"manifests/{n}") for n in numbers}
+        pinned = [self.folder.read(f"reads/{n}")["number"] for n in self.folder.names("reads") if n.endswith(".json")]
+        live = {k: {b for n, m in manifests.items() if n in kept or m["number"] in pinned for b in (*m["batches"][k], *m["added"][k])} for k in ("vertex", "edge")}
+        gone = [f"{k}/{b}" for k in live for b, age in self.folder.ages(k).items() if b not in live[k] and age > grace]
+        for name in gone:
+            self.folder.remove(name)
+        return gone
+
     # -- statements
 
     def mutations_of(self, program: ir.Program, params: dict, snapshot: Snapshot, request: str | None = None) -> list[tuple[str, DataFrame]]:

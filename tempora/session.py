@@ -17,6 +17,7 @@ class GraphSession:
         self.graphs: dict[str, Graph] = {}
         self.writers: dict[str | None, object] = {}
         self.staged: list | None = None
+        self.starts: dict = {}
 
     def register(self, name: str, graph: Graph) -> "GraphSession":
         self.graphs[name] = graph
@@ -44,6 +45,9 @@ class GraphSession:
             raise LanguageError("PARAMETER", "not given: " + ", ".join("$" + m for m in missing))
         default = Snapshot()
         snapshot = Snapshot(default.valid_at if valid_at is None else valid_at, default.tx_at if tx_at is None else tx_at)
+        writer = self.writers.get(program.graph)
+        if self.staged is not None and writer is not None and tx_at is None:  # what a transaction reads is what was there when it began
+            snapshot = Snapshot(snapshot.valid_at, self.starts.setdefault(writer, writer.frontier()))
         if program.kind == "query":
             return lower(program.plan, self.graph(program.graph), snapshot, params)
         if program.kind == "analytics":
@@ -53,14 +57,14 @@ class GraphSession:
         if program.kind == "begin":
             if self.staged is not None:
                 raise LanguageError("TRANSACTION", "a transaction is open")
-            self.staged = []
+            self.staged, self.starts = [], {w: w.frontier() for w in self.writers.values()}
         elif self.staged is None:
             raise LanguageError("TRANSACTION", "no transaction is open")
         else:
             staged, self.staged = self.staged, None
             if program.kind == "commit":
                 for writer in dict.fromkeys(w for w, _ in staged):
-                    writer.commit([m for w, part in staged if w is writer for m in part])
+                    writer.commit([m for w, part in staged if w is writer for m in part], self.starts[writer])
         return None
 
     def plan(self, plan, params: dict | None = None, graph: str | None = None, snapshot: Snapshot = Snapshot()) -> DataFrame:
@@ -77,8 +81,9 @@ class GraphSession:
         writer = self.writers.get(program.graph)
         if writer is None:
             raise LanguageError("READ-ONLY", "the graph has no writer")
+        start = writer.frontier()
         rows = writer.mutations_of(program, params, snapshot)
         if self.staged is not None:
             self.staged.append((writer, rows))
         else:
-            writer.commit(rows)
+            writer.commit(rows, start)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -23,6 +25,11 @@ class Folder:
         p = self._at(below) if below else self._root
         return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
 
+    def ages(self, below: str) -> dict[str, float]:
+        """Names below a folder with the seconds since each was changed."""
+        p = self._at(below)
+        return {s.getPath().getName(): time.time() - s.getModificationTime() / 1000 for s in self._fs.listStatus(p)} if self._fs.exists(p) else {}
+
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._at(name))
 
@@ -33,8 +40,22 @@ class Folder:
         finally:
             s.close()
 
+    def _take(self, draft, name: str) -> bool:
+        """Give a draft its name unless that is taken. A rename fails then, but not on a local disk, where a hard link does."""
+        if self._fs.getUri().getScheme() != "file":
+            return self._fs.rename(draft, self._at(name))
+        local = lambda p: self.spark._jvm.java.io.File(p.toUri().getPath()).toPath()
+        try:
+            self.spark._jvm.java.nio.file.Files.createLink(local(self._at(name)), local(draft))
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise
+            return False
+        self._fs.delete(draft, False)
+        return True
+
     def publish(self, name: str, value: dict) -> bool:
-        """Write a new JSON file as a whole; False if it is there already."""
+        """Write a new JSON file as a whole; False if it is there already. Of several writers of a name one wins."""
         if self.exists(name):
             return False
         draft = self._at(f"{name}.{uuid.uuid4().hex}.draft")
@@ -43,7 +64,7 @@ class Folder:
             s.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         finally:
             s.close()
-        if not self.exists(name) and self._fs.rename(draft, self._at(name)):
+        if not self.exists(name) and self._take(draft, name):
             return True
         self._fs.delete(draft, False)
         return False
