@@ -14,7 +14,10 @@ from tempora.plans import ir
 from tempora.plans.lower import Snapshot
 from tempora.session import GraphSession
 from tempora.sources import tables
+from tempora.sources.provider import Provider
+from tempora.sources.store import export_snapshot
 from tempora.streaming.ingest import ChangeFeed, Ingest
+from tempora.streaming.jobs import Jobs
 
 V = tables.VALID_AT
 DAY = 86_400_000_000
@@ -574,6 +577,28 @@ def write_statements(spark, d):
     return nodes.unionByName(s.query("MATCH (a)-[r:NEAR]->(b) RETURN a.name, r.since, b.name").toDF("name", "value", "other"))
 
 
+@query("store_pinned_read", f"{_ALL} SELECT id, version, tombstone, value FROM av WHERE tx_time <= {_TX} // 2")
+def store_pinned_read(spark, d):
+    """The users' log in two loads; a read that was begun between them, after both, a compaction and a vacuum."""
+    g, t = tables.activity(spark, d), tables.probe(spark, d)[1]
+    p = Provider(spark, scratch(spark, "pinned-store"), g.vertex_properties, [])
+    p.writer.load("vertex", g.vertices.where(F.col("tx_time") <= t // 2))
+    r = p.begin_read()
+    p.writer.load("vertex", g.vertices.where((F.col("tx_time") > t // 2) & (F.col("tx_time") <= t)))
+    p.writer.compact()
+    p.writer.vacuum(through=p.writer.manifest()["number"], grace=0)
+    return p.read(r, "vertex").select("id", "version", "tombstone", "value")
+
+
+@query("snapshot_restore", f"{_BOTH} SELECT id, src, dst, edge_type, value FROM es")
+def snapshot_restore(spark, d):
+    """The log up to the probe transaction as a snapshot, imported into a new store, whose edges are read at the probe instant."""
+    g, (v, t), at = tables.activity(spark, d), tables.probe(spark, d), scratch(spark, "snapshot")
+    export_snapshot(g, at, t)
+    p = Provider(spark, scratch(spark, "origin"), g.vertex_properties, g.edge_properties).import_snapshot(at, scratch(spark, "restored"))
+    return p.read(p.begin_read(), "edge", v, OPEN).select("id", "src", "dst", "edge_type", "value")
+
+
 # ---- graph algorithms
 
 def contacts(spark, d) -> A.Projection:
@@ -588,6 +613,15 @@ def ga_degree(spark, d):
     return A.degree_centrality(contacts(spark, d)).withColumn("score", F.round("score", 10))
 
 
+@query("job_result", SQL["ga_degree"])
+def job_result(spark, d):
+    """The degrees as a job: submitted twice under one id, run once, its result read."""
+    jobs = Jobs(spark, scratch(spark, "jobs"))
+    for _ in range(2):
+        jobs.submit("degrees", "degree_centrality", contacts(spark, d))
+    return jobs.result("degrees", 3600).select("vertex", F.round("score", 10).alias("score"))
+
+
 @query("ga_triangles", f"WITH {_CONTACTS}, {_UND} SELECT count(*) AS count FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b")
 def ga_triangles(spark, d):
     return A.triangle_count(contacts(spark, d))
