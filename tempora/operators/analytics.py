@@ -33,7 +33,8 @@ class Projection:
     """The graph that algorithms run on, with the caps that guard them.
 
     max_iterations bounds the rounds of every loop, max_work the rows that rounds go over (edges and vertices, once a round),
-    max_pairs the (source, vertex) pairs that all-pairs algorithms hold at a time. None: no bound.
+    max_pairs the (source, vertex) pairs that all-pairs algorithms hold at a time, max_task the links that dfs and louvain hold in
+    one task, which are refused beyond it. None: no bound.
     """
 
     vertices: DataFrame
@@ -41,6 +42,7 @@ class Projection:
     max_iterations: int = 10_000
     max_work: int | None = None
     max_pairs: int | None = None
+    max_task: int | None = 1 << 24
     used: int = 0
     size: int | None = None
 
@@ -69,6 +71,11 @@ class Projection:
             if self.used > self.max_work:
                 raise AnalyticsError("RESOURCE-LIMIT", f"more than {self.max_work} rows of work")
 
+    def one_task(self, rows: DataFrame, key: str) -> None:
+        """Refuse rows of which one key's are too many for a task."""
+        if self.max_task is not None and not rows.groupBy(key).count().where(F.col("count") > self.max_task).isEmpty():
+            raise AnalyticsError("RESOURCE-LIMIT", f"more than {self.max_task} links in one task")
+
     def has(self, vertex: int) -> None:
         if self.vertices.where(F.col("id") == vertex).isEmpty():
             raise AnalyticsError("INVALID-REQUEST", f"no vertex {vertex}")
@@ -125,7 +132,9 @@ def dfs(g: Projection, source: int, max_depth: int = 64) -> DataFrame:
         return pd.DataFrame({"position": range(len(out)), "vertex": out})
 
     start = within.where(F.col("vertex") == source).select(F.col("vertex").alias("src"), F.col("vertex").alias("dst"))
-    return e.select("src", "dst").unionByName(start).withColumn("one", F.lit(True)).groupBy("one").applyInPandas(walk, "position bigint, vertex bigint")
+    rows = materialize(e.select("src", "dst").unionByName(start).withColumn("one", F.lit(True)), "dfs")
+    g.one_task(rows, "one")
+    return rows.groupBy("one").applyInPandas(walk, "position bigint, vertex bigint")
 
 
 # ---- shortest paths
@@ -404,7 +413,9 @@ def louvain(g: Projection, iterations: int = 20) -> DataFrame:
     u = materialize(_undirected(g), "louvain")
     total = float(u.count())
     parts = weakly_connected_components(g)
-    rows = u.join(parts.select(F.col("vertex").alias("a"), "component"), "a").select("component", "a", "b")
+    rows = materialize(u.join(parts.select(F.col("vertex").alias("a"), "component"), "a").select("component", "a", "b"), "louvain")
+    release(u)
+    g.one_task(rows, "component")
 
     def moves(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, list[int]] = {}
