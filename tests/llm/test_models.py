@@ -268,3 +268,23 @@ def test_factors_lift_the_held_out_score(spark, tables):
     x = [toxicity.terms(rows[i][1]) for i in held]
     without = auc(linear.raw(np.concatenate(x), np.array([len(r) for r in x])), y)
     assert with_factors > 0.95 and without < 0.65, (with_factors, without)
+
+
+def test_the_forest_is_fitted_on_all_rows(spark, tables):
+    """Units of all good rows that pass, and the threshold that all labelled scores give."""
+    rng = random.Random(8)
+    texts = {}
+    for i in range(7200):
+        junk = 0.12 if i % 8 == 0 else 0.02
+        texts[i] = " ".join(("#" * rng.randint(1, 3) if rng.random() < junk else "w" + "x" * rng.randint(0, 9) + str(rng.randint(0, 10**6))) for _ in range(60))
+    d = tables(documents=spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), labels=spark.createDataFrame([(i, int(i % 8 > 0), 0) for i in texts if i % 10], "doc_id bigint, quality int, toxic int"))
+    f = quality.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).value
+    x = np.array([quality.statistics(t.encode())[1] for t in texts.values()])
+    assert not quality.base_failed(np.array([quality.statistics(t.encode())[0] for t in texts.values()])).any()
+    i = np.arange(len(x))
+    good, bad = (i % 10 > 0) & (i % 8 > 0), (i % 10 > 0) & (i % 8 == 0)
+    assert good.sum() > 5000
+    np.testing.assert_allclose(f.unit[x[good].std(axis=0) > 0], x[good].std(axis=0)[x[good].std(axis=0) > 0], rtol=1e-6)
+    step = np.ceil(f.score(x) * quality.STEPS) / quality.STEPS
+    assert f.threshold == quality.calibrate(f, step[good], step[bad], np.sort(step)[len(step) // 2 - 1])
+    assert 0 < (step[bad] > f.threshold).mean() and (step[good] > f.threshold).mean() <= quality.MAX_LOSS
