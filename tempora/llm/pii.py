@@ -80,6 +80,8 @@ _names = (f"v{i}" for i in count())
 
 
 # ---- expressions as SQL text
+# Spark's parser keeps a state for each token that it must look past to tell what it reads, and holds all of them for good.
+# It reads if(), expression::type and calls at once, but looks through all of a CASE, a CAST or what stands in brackets first.
 
 def lit(x: str) -> str:
     """A raw string literal; patterns name quotes by their codes."""
@@ -90,6 +92,11 @@ def none(kind: str) -> str:
     return f"cast(array() as {kind})"
 
 
+def _choice(of: list[tuple[str, str]]) -> str:
+    """The word of the first condition that holds, or null."""
+    return "".join(f"if({c}, '{word}', " for c, word in of) + "null" + ")" * len(of)
+
+
 def let(x: str, body: Callable[[str], str]) -> str:
     """body of x, with x evaluated once."""
     return f"element_at({each(f'array({x})', body)}, 1)"
@@ -136,7 +143,7 @@ def running(n: str, fold: Callable, join: Callable, body: Callable[[Callable], s
 
 
 def summed(n: str, body: Callable[[Callable], str]) -> str:
-    return running(n, _sum, lambda a, b: f"({a} + {b})", body)
+    return running(n, _sum, lambda a, b: f"{a} + {b}", body)
 
 
 def furthest(spans: str, body: Callable[[Callable], str]) -> str:
@@ -156,7 +163,7 @@ def matches(text: str, pattern: str, contexts: bool = False) -> str:
             return each(f"sequence(0, {_div(f'size({p}) - 3', 2)})", one)
 
         found = let(each(p, lambda x: f"char_length({x})"), lambda n: summed(n, at))
-        return f"case when size({p}) > 1 then cast({found} as {MATCH}) else {none(MATCH)} end"
+        return f"if(size({p}) > 1, {found}::{MATCH}, {none(MATCH)})"
 
     return let(f"split(regexp_replace({text}, {lit(pattern)}, '{CUT}$0{CUT}'), '{CUT}', -1)", located)
 
@@ -164,7 +171,7 @@ def matches(text: str, pattern: str, contexts: bool = False) -> str:
 def searchable(text: str) -> str:
     """text with the noncharacters that serve as marks here replaced, one for one."""
     marks = "".join(MASKS.values()) + CUT
-    return f"case when octet_length({text}) > char_length({text}) and {text} rlike '[{marks}]' then translate({text}, '{marks}', '{chr(0xFFFD) * len(marks)}') else {text} end"
+    return f"if(octet_length({text}) > char_length({text}) and {text} rlike '[{marks}]', translate({text}, '{marks}', '{chr(0xFFFD) * len(marks)}'), {text})"
 
 
 def parts_of(text: str) -> str:
@@ -180,7 +187,7 @@ def cut(parts: str, a: str, b: str | None = None) -> str:
         return f"concat({rest}, array_join(slice({parts}, {i} + 2, size({parts})), ''))"
     j = _div(b, PART)
     far = f"concat({rest}, array_join(slice({parts}, {i} + 2, greatest({j} - {i} - 1, 0)), ''), substring({part(j)}, 1, {b} % {PART}))"
-    return f"case when {i} = {j} then substring({part(i)}, {a} % {PART} + 1, {b} - {a}) else {far} end"
+    return f"if({i} = {j}, substring({part(i)}, {a} % {PART} + 1, {b} - {a}), {far})"
 
 
 def replaced(text: str, spans: str, new: Callable[[str, str], str]) -> str:
@@ -192,18 +199,18 @@ def replaced(text: str, spans: str, new: Callable[[str, str], str]) -> str:
 
         return furthest(spans, put)
 
-    return f"case when size({spans}) = 0 then {text} else {let(parts_of(text), build)} end"
+    return f"if(size({spans}) = 0, {text}, {let(parts_of(text), build)})"
 
 
 def by_start(spans: str) -> str:
     turned = each(spans, lambda x: f"named_struct('s', {x}.s, 'n', -{x}.e, 'kind', {x}.kind)")
-    return f"cast({each(f'array_sort({turned})', lambda x: f'''named_struct('kind', {x}.kind, 's', {x}.s, 'e', -{x}.n)''')} as {SPAN})"
+    return f"{each(f'array_sort({turned})', lambda x: f'''named_struct('kind', {x}.kind, 's', {x}.s, 'e', -{x}.n)''')}::{SPAN}"
 
 
 def apart(spans: str) -> str:
     """Those of spans (by start, the longest first) that start where all before them have ended."""
     kept = furthest(spans, lambda reach: placed(spans, lambda x, i: f"{x}.s >= {reach(i)}", "filter"))
-    return f"case when size({spans}) < 2 then {spans} else {kept} end"
+    return f"if(size({spans}) < 2, {spans}, {kept})"
 
 
 # ---- base spans
@@ -214,10 +221,10 @@ def _digits(m: str) -> str:
 
 def valid(kind: str, m: str) -> str:
     if kind == "ip":
-        small = lambda p: let(f"regexp_replace({p}, '^0++', '')", lambda q: f"(char_length({q}) <= 3 and coalesce(try_cast({q} as int), 0) <= 255)")
+        small = lambda p: let(f"regexp_replace({p}, '^0++', '')", lambda q: f"char_length({q}) <= 3 and coalesce(try_cast({q} as int), 0) <= 255")
         return each(f"split({m}, '[.]')", small, "forall")
     if kind == "card":
-        return let(_digits(m), lambda d: f"(char_length({d}) between 13 and 19 and luhn_check({d}))")
+        return let(_digits(m), lambda d: f"char_length({d}) between 13 and 19 and luhn_check({d})")
     if kind == "phone":
         return f"char_length({_digits(m)}) between 9 and 15"
     return "true"
@@ -230,7 +237,7 @@ def base_spans(text: str) -> str:
         some = each(matches(text, PATTERNS[kind]), lambda x: valid(kind, f"{x}.m"), "filter")
         spans = each(some, lambda x: f"named_struct('kind', '{kind}', 's', {x}.s, 'e', {x}.e)")
         may = f"contains({text}, '{NEEDS[kind]}')" if NEEDS[kind] else f"{text} rlike '[0-9]'"
-        per.append(f"case when {may} then cast({spans} as {SPAN}) else {none(SPAN)} end")
+        per.append(f"if({may}, {spans}::{SPAN}, {none(SPAN)})")
     return f"concat({', '.join(per)})"
 
 
@@ -239,20 +246,20 @@ def base_spans(text: str) -> str:
 def masked(text: str, base: str) -> str:
     """text with each character of a base span replaced by the mark of its kind."""
     def mark(x: str, m: str) -> str:
-        signs = " ".join(f"when '{k}' then '{s}'" for k, s in MASKS.items())
-        return f"repeat(case {x}.kind {signs} end, greatest({x}.e - greatest({m}, {x}.s), 0))"
+        sign = _choice([(f"{x}.kind = '{k}'", s) for k, s in MASKS.items()])
+        return f"repeat({sign}, greatest({x}.e - greatest({m}, {x}.s), 0))"
 
-    return f"case when size({base}) = 0 then {text} else {let(by_start(base), lambda spans: replaced(text, spans, mark))} end"
+    return f"if(size({base}) = 0, {text}, {let(by_start(base), lambda spans: replaced(text, spans, mark))})"
 
 
 def _name(x: str) -> str:
-    return f"case when char_length({x}) > {NAME} then concat('#', cast(xxhash64({x}) as string)) else lower({x}) end"
+    return f"if(char_length({x}) > {NAME}, concat('#', cast(xxhash64({x}) as string)), lower({x}))"
 
 
 def _last_word(part: str) -> str:
     word = lambda t: f"regexp_extract({t}, {lit(_BEFORE)}, 1)"
-    near = let(word(f"substring({part}, {-2 * NAME}, {2 * NAME})"), lambda w: f"case when char_length({w}) < {NAME} then {w} else {word(part)} end")
-    return f"case when {part} = '' then '' else {near} end"
+    near = let(word(f"substring({part}, {-2 * NAME}, {2 * NAME})"), lambda w: f"if(char_length({w}) < {NAME}, {w}, {word(part)})")
+    return f"if({part} = '', '', {near})"
 
 
 def _first_word(part: str) -> str:
@@ -265,7 +272,7 @@ def _instance(s: str, m: str, left: str, right: str) -> str:
         head, core = f"char_length(get({g}, 0))", f"get({g}, 1)"
         return let(f"regexp_extract({core}, {lit(_KEY)}, 1)", lambda k: f"""named_struct('s', {s} + {head} + char_length({k}), 'e', {s} + {head} + char_length({core}),
             'inst', {let(f'substring({core}, char_length({k}) + 1, char_length({core}))', _name)},
-            'l', case when {k} <> '' then lower({k}) else {let(left, _name)} end, 'r', {let(right, _name)}, 'known', cast(null as string))""")
+            'l', if({k} <> '', lower({k}), {let(left, _name)}), 'r', {let(right, _name)}, 'known', cast(null as string))""")
 
     return let(f"array(regexp_extract({m}, {lit(_HEAD)}, 0), regexp_extract({m}, {lit(_CORE)}, 1))", named)
 
@@ -279,8 +286,8 @@ def _parts_of_run(x: str) -> str:
 
         def of(start: Callable) -> str:
             def sub(i: str, j: str) -> str:
-                left = f"case when {i} > 0 then get({words}, {i} - 1) else {_last_word(f'{x}.before')} end"
-                right = f"case when {j} < {last} then get({words}, {j} + 1) else {_first_word(f'{x}.after')} end"
+                left = f"if({i} > 0, get({words}, {i} - 1), {_last_word(f'{x}.before')})"
+                right = f"if({j} < {last}, get({words}, {j} + 1), {_first_word(f'{x}.after')})"
                 return let(f"array_join(slice({words}, {i} + 1, {j} - {i} + 1), ' ')", lambda m: _instance(f"{x}.s + {start(i)}", m, left, right))
 
             ends = lambda i: each(f"sequence({i}, least({i} + {SUB_RUN - 1}, {last}))", lambda j: f"{j} - {i} < {last}", "filter")
@@ -289,19 +296,19 @@ def _parts_of_run(x: str) -> str:
 
         return summed(each(words, lambda w: f"char_length({w}) + 1"), of)
 
-    return f"case when contains({x}.m, ' ') then cast({let(f'''split({x}.m, ' ')''', split)} as {FOUND}) else cast({whole_run} as {FOUND}) end"
+    return f"if(contains({x}.m, ' '), {let(f'''split({x}.m, ' ')''', split)}::{FOUND}, {whole_run}::{FOUND})"
 
 
 def candidates(text: str, base: str) -> str:
     """Known and unknown instances of a searchable text with the words around them, as FOUND."""
     def known(x: str, parts: str) -> str:
-        kind = "case " + " ".join(f"when startswith({x}.m, '{s}') then '{k}'" for k, s in MASKS.items()) + " end"
+        kind = _choice([(f"startswith({x}.m, '{s}')", k) for k, s in MASKS.items()])
         seen = lambda k: f"""named_struct('s', {x}.s, 'e', {x}.e, 'inst', {let(cut(parts, f'{x}.s', f'{x}.e'), _name)}, 'l', {let(_last_word(f'{x}.before'), _name)}, 'r', {let(_first_word(f'{x}.after'), _name)}, 'known', {k})"""
-        return let(kind, lambda k: f"case when {k} is not null then cast(array({seen(k)}) as {FOUND}) else {_parts_of_run(x)} end")
+        return let(kind, lambda k: f"if({k} is not null, array({seen(k)})::{FOUND}, {_parts_of_run(x)})")
 
     found = lambda parts: each(f"flatten({each(matches(masked(text, base), CANDIDATE, True), lambda x: known(x, parts))})", lambda c: f"{c}.inst <> ''", "filter")
-    parts = f"case when size({base}) > 0 then {parts_of(text)} else {none('array<string>')} end"
-    return f"case when {text} rlike '[0-9@]' then {let(parts, found)} else {none(FOUND)} end"
+    parts = f"if(size({base}) > 0, {parts_of(text)}, {none('array<string>')})"
+    return f"if({text} rlike '[0-9@]', {let(parts, found)}, {none(FOUND)})"
 
 
 def scan(docs: DataFrame, *keep: Column) -> DataFrame:
@@ -376,7 +383,7 @@ def redact(docs: DataFrame) -> DataFrame:
     scanned = scan(docs, whole(docs))
     added = discover(scanned)
     rows = _with_added(scanned.select("doc", "doc_id", "th", "base"), added).withColumn("all", F.expr(by_start("concat(base, added)")))
-    sign = lambda x, m: f"case when {x}.s >= {m} then concat('<', upper({x}.kind), '>') else '' end"
-    rows = rows.withColumn("text", F.expr(f"case when doc.text is null or size(all) = 0 then doc.text else {replaced('doc.text', 'all', sign)} end"))
+    sign = lambda x, m: f"if({x}.s >= {m}, concat('<', upper({x}.kind), '>'), '')"
+    rows = rows.withColumn("text", F.expr(f"if(doc.text is null or size(all) = 0, doc.text, {replaced('doc.text', 'all', sign)})"))
     new = {"text": F.col("text"), "n_chars": F.coalesce(F.char_length("text"), F.lit(0)).cast(dict(docs.dtypes).get("n_chars", "bigint"))}
     return rows.select(*[new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])

@@ -86,3 +86,17 @@ def test_work_is_near_linear_in_the_spans(spark):
     seconds(500)
     small, large = seconds(4000), seconds(64_000)
     assert large < 16 * max(small, 1.0)
+
+
+def test_the_parser_keeps_little_of_the_expressions(spark):
+    """States that Spark's parser holds for good, in the driver, after it has read the expressions."""
+    held = spark._jvm.org.apache.spark.sql.catalyst.parser.AbstractParser.getDFACacheNumStates
+    parser = spark._jsparkSession.sessionState().sqlParser()
+    spark.conf.set("spark.sql.parser.manageParserCaches", "true")
+    try:
+        before = held()
+        for x in (pii.base_spans("_s"), pii.candidates("_s", "base"), pii.replaced("_s", "base", lambda x, m: "'-'")):
+            parser.parseExpression(x)
+        assert held() - before < 2000
+    finally:
+        spark.conf.unset("spark.sql.parser.manageParserCaches")
