@@ -139,20 +139,59 @@ def dfs(g: Projection, source: int, max_depth: int = 64) -> DataFrame:
 
 # ---- shortest paths
 
-def _relax(g: Projection, start: DataFrame, keys: list[str], weight: str | None) -> DataFrame:
-    """Least distances keys + vertex -> distance from start, by relaxing what changed until nothing does."""
+def _entered(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The vertices that edges enter, these vertices' edges, and the edges of all others. No path comes back to the others, so what
+    starts there is one edge and what starts at its end: they need no rounds of their own."""
+    core = materialize(e.where(F.col("src") != F.col("dst")).select(F.col("dst").alias("id")).distinct(), "entered")
+    heads = core.select(F.col("id").alias("src"))
+    return core, e.join(heads, "src", "left_semi"), e.where(F.col("src") != F.col("dst")).join(heads, "src", "left_anti")
+
+
+#: Rows that a join may broadcast, and pairs that a task of one-edge extensions holds.
+SMALL = 1 << 20
+
+
+def _extended(outer: DataFrame, reach: DataFrame) -> DataFrame:
+    """source, vertex, distance over one edge of outer (src, dst, w) and then as in reach (source, vertex, distance).
+
+    A small reach is broadcast to edges that are dealt by source, so that no pair is shuffled.
+    """
+    size = reach.count()
+    reach = reach.select(F.col("source").alias("dst"), "vertex", "distance")
+    if size <= SMALL:
+        most = outer.select("src").distinct().count() * min(size, reach.select("vertex").distinct().count())
+        parts = max(int(outer.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-most // SMALL))
+        outer, reach = outer.repartition(parts, "src"), F.broadcast(reach)
+    found = outer.join(reach, "dst").groupBy(F.col("src").alias("source"), "vertex")
+    return found.agg(F.min(F.col("w") + F.col("distance")).alias("distance"))
+
+
+def _lightest(g: Projection, weight: str | None) -> DataFrame:
+    """src, dst, w of the lightest of parallel edges, none and bad where one of them has no or no right weight."""
     e = _weights(g.edges, weight)
     e = e.groupBy("src", "dst").agg(F.min("w").alias("w"), F.max((F.col("w").isNull()).cast("int")).alias("none"), F.max((F.isnan("w") | (F.abs("w") == math.inf) | (F.col("w") < 0)).cast("int")).alias("bad"))
-    e = materialize(e, "relax-edges")
+    return materialize(e, "relax-edges")
+
+
+def _refuse(edges: DataFrame) -> bool:
+    """Raise on edges that are marked; false if there were none."""
+    bad = edges.agg(F.max("none"), F.max("bad")).first()
+    if bad[0]:
+        raise AnalyticsError("MISSING-PROPERTY", "an edge has no weight")
+    if bad[1]:
+        raise AnalyticsError("INVALID-PROPERTY", "a weight is negative or not finite")
+    return False
+
+
+def _relax(g: Projection, e: DataFrame, start: DataFrame, keys: list[str]) -> DataFrame:
+    """Least distances keys + vertex -> distance from start over the lightest edges, by relaxing what changed until nothing does."""
+    marked = not e.where("none = 1 OR bad = 1").isEmpty()
     best = frontier = both = materialize(start, "relax")
     for n in count(1):
         g.round(n)
         scanned = frontier.join(e, frontier["vertex"] == e["src"])
-        bad = scanned.agg(F.max("none"), F.max("bad")).first()
-        if bad[0]:
-            raise AnalyticsError("MISSING-PROPERTY", "an edge has no weight")
-        if bad[1]:
-            raise AnalyticsError("INVALID-PROPERTY", "a weight is negative or not finite")
+        if marked:
+            _refuse(scanned)
         found = scanned.select(*keys, F.col("dst").alias("vertex"), (F.col("distance") + F.col("w")).alias("distance"))
         found = found.groupBy(*keys, "vertex").agg(F.min("distance").alias("new"))
         met = best.join(found, [*keys, "vertex"], "full_outer")
@@ -167,7 +206,7 @@ def bounded_sssp(g: Projection, source: int, weight: str | None = None) -> DataF
     """vertex, distance of what can be reached."""
     g.has(source)
     start = g.vertices.where(F.col("id") == source).select(F.col("id").alias("vertex"), F.lit(0.0).alias("distance")).distinct()
-    return _relax(g, start, [], weight)
+    return _relax(g, _lightest(g, weight), start, [])
 
 
 def bounded_apsp(g: Projection, weight: str | None = None, max_pairs: int = 4096) -> DataFrame:
@@ -175,8 +214,13 @@ def bounded_apsp(g: Projection, weight: str | None = None, max_pairs: int = 4096
     n = g.vertices.count()
     if n * n > max_pairs:
         raise AnalyticsError("RESOURCE-LIMIT", f"{n * n} pairs; at most {max_pairs}")
-    start = g.vertices.select(F.col("id").alias("source"), F.col("id").alias("vertex"), F.lit(0.0).alias("distance"))
-    return _relax(g, start, ["source"], weight).select("source", F.col("vertex").alias("target"), "distance")
+    e = _lightest(g, weight)
+    _refuse(e)
+    core, inner, outer = _entered(e)
+    itself = lambda v: v.select(F.col("id").alias("source"), F.col("id").alias("vertex"), F.lit(0.0).alias("distance"))
+    reach = _relax(g, materialize(inner, "relax-edges"), itself(core), ["source"])
+    found = reach.unionByName(itself(g.vertices.join(core, "id", "left_anti"))).unionByName(_extended(outer, reach))
+    return found.select("source", F.col("vertex").alias("target"), "distance")
 
 
 # ---- components
