@@ -9,10 +9,12 @@ weight where one is used.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import count
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tempora.functions.components import components
@@ -374,12 +376,68 @@ def _dependencies(g: Projection, e: DataFrame, sources: DataFrame) -> DataFrame:
     return out
 
 
+#: Vertices whose edges a task may hold as a square of numbers: 8 MB.
+SQUARE = 1 << 10
+
+
+def _outer_dependencies(core: DataFrame, inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """vertex, d: the dependencies of the sources of outer (src, dst, k) on a core of at most SQUARE vertices, whose edges each task holds.
+    Sources are gone through in blocks; a task gives one sum for each vertex of the core, so no pair is written or shuffled."""
+    ids = np.sort(np.array([r["id"] for r in core.collect()], dtype=np.int64))
+    k = np.zeros((len(ids), len(ids)))
+    for r in inner.where(F.col("src") != F.col("dst")).collect():  # at most SQUARE squared
+        k[np.searchsorted(ids, r["src"]), np.searchsorted(ids, r["dst"])] = r["k"]
+
+    def block(paths: np.ndarray) -> np.ndarray:
+        depth = np.where(paths > 0, 1, 0)
+        new, at = paths, 1
+        while True:
+            ends = (new > 0).any(axis=0)
+            got = new[:, ends] @ k[ends]
+            first = (got > 0) & (depth == 0)
+            if not first.any():
+                break
+            at += 1
+            depth[first] = at
+            new = np.where(first, got, 0.0)
+            paths = paths + new
+        d = np.zeros(paths.shape)
+        for up in range(at - 1, 0, -1):
+            below = depth == up + 1
+            ends = below.any(axis=0)
+            share = np.divide(1 + d, paths, out=np.zeros(paths.shape), where=below)
+            d = np.where(depth == up, paths * (share[:, ends] @ k[:, ends].T), d)
+        return d.sum(axis=0)
+
+    def walk(batches):
+        total = np.zeros(len(ids))
+        for b in batches:
+            lists = b.column(0)
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            dst, many = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+            for i in range(0, len(lists), SQUARE):
+                here = slice(*np.searchsorted(row, [i, i + SQUARE]))
+                paths = np.zeros((min(SQUARE, len(lists) - i), len(ids)))
+                paths[row[here] - i, np.searchsorted(ids, dst[here])] = many[here]
+                total += block(paths)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["vertex", "d"])
+
+    parts = max(int(outer.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-outer.count() // SMALL))
+    near = outer.repartition(parts, "src").groupBy("src").agg(F.collect_list(F.struct("dst", "k")).alias("near"))
+    return near.select("near").mapInArrow(walk, "vertex bigint, d double").groupBy("vertex").agg(F.sum("d").alias("d"))
+
+
 def betweenness_centrality(g: Projection) -> DataFrame:
     """vertex, score: shares of shortest paths of all sources, part by part; parallel edges multiply paths."""
     e = materialize(g.edges.groupBy("src", "dst").agg(F.count("*").cast("double").alias("k")), "paths")
-    total = None
-    for sources in _sources(g):
-        part = _dependencies(g, e, sources)
+    core, inner, outer = _entered(e)
+    if core.count() <= SQUARE:
+        inner = materialize(inner, "paths")
+        graph, total = replace(g, vertices=core, edges=inner, size=None), _outer_dependencies(core, inner, outer)
+    else:
+        graph, inner, total = g, e, None
+    for sources in _sources(graph):
+        part = _dependencies(graph, inner, sources)
         total = part if total is None else total.unionByName(part)
     total = total.groupBy("vertex").agg(F.sum("d").alias("d"))
     return g.vertices.join(total, g.vertices["id"] == total["vertex"], "left").select(F.col("id").alias("vertex"), F.coalesce("d", F.lit(0.0)).alias("score"))

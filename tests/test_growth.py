@@ -67,3 +67,35 @@ def test_apsp_rounds_leave_out_sources_that_nothing_enters(graph, fan, written,
     assert written["relax"] <= 36
     with pytest.raises(A.AnalyticsError, match="MISSING-PROPERTY"):  # of an edge that no round goes over
         A.bounded_apsp(A.Projection(graph.vertices, graph.edges.withColumn("weight", F.when(F.col("src") != 58, F.col("weight")))), "weight", N * N)
+
+
+def shortest(fan, s):
+    """Order, numbers of shortest paths and what comes before each vertex, with how many edges."""
+    out, dist, paths, order, before = defaultdict(Counter), {s: 0}, Counter({s: 1}), [s], defaultdict(list)
+    for a, b, _ in fan:
+        out[a][b] += 1
+    for v in order:
+        for u, k in out[v].items():
+            if u not in dist:
+                dist[u] = dist[v] + 1
+                order.append(u)
+            if dist[u] == dist[v] + 1:
+                paths[u] += paths[v] * k
+                before[u].append((v, k))
+    return order, paths, before
+
+
+@pytest.mark.parametrize("square", [1 << 10, 1])
+def test_betweenness_writes_no_pairs_of_sources_that_nothing_enters(graph, fan, written, monkeypatch, square):
+    monkeypatch.setattr(A, "SQUARE", square)
+    want = dict.fromkeys(range(1, N + 1), 0.0)
+    for s in want:
+        (order, paths, before), share = shortest(fan, s), Counter()
+        for v in reversed(order):
+            for u, k in before[v]:
+                share[u] += paths[u] * k / paths[v] * (1 + share[v])
+            want[v] += share[v] if v != s else 0.0
+    got = {r.vertex: r.score for r in A.betweenness_centrality(graph).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[v], x, abs_tol=1e-9) for v, x in want.items())
+    if square > 1:
+        assert written["hops"] <= 36
