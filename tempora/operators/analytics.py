@@ -335,19 +335,17 @@ def _hops(g: Projection, sources: DataFrame) -> list[DataFrame]:
 
 def closeness_centrality(g: Projection) -> DataFrame:
     """vertex, score: reached squared over others times the sum of hop distances; 0 if nothing is reached."""
-    n, parts = g.vertices.count(), None
-    for sources in _sources(g):
-        layers = _hops(g, sources)
-        near = None
-        for depth, layer in enumerate(layers):
-            part = layer.groupBy("source").agg(F.count("*").alias("r")).select("source", F.col("r").alias("r"), (F.col("r") * depth).alias("s"))
-            near = near.unionByName(part) if depth > 1 else part  # the source itself, at depth 0, does not count
-        if len(layers) > 1:
-            part = materialize(near.groupBy("source").agg(F.sum("r").alias("r"), F.sum("s").alias("s")), "closeness")
-            parts = part if parts is None else parts.unionByName(part)
-        release(*layers)
-    if parts is None:
-        return g.vertices.select(F.col("id").alias("vertex"), F.lit(0.0).alias("score"))
+    n, near = g.vertices.count(), None
+    e = materialize(g.edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct(), "closeness")
+    core, inner, outer = _entered(e)
+    within = replace(g, vertices=core, edges=materialize(inner, "closeness"), size=None)
+    for sources in _sources(within):
+        for depth, layer in enumerate(_hops(within, sources)):
+            part = layer.withColumn("distance", F.lit(depth).cast("bigint"))
+            near = part if near is None else near.unionByName(part)
+    far = _extended(outer.withColumn("w", F.lit(1).cast("bigint")), near)
+    sums = [F.count("*").alias("r"), F.sum("distance").alias("s")]
+    parts = near.where("distance > 0").groupBy("source").agg(*sums).unionByName(far.groupBy("source").agg(*sums))
     score = F.when(F.col("s").isNull(), 0.0).otherwise(F.col("r") * F.col("r") / (F.lit(float(max(n - 1, 1))) * F.col("s")))
     return g.vertices.join(parts, g.vertices["id"] == parts["source"], "left").select(F.col("id").alias("vertex"), score.alias("score"))
 

@@ -99,3 +99,12 @@ def test_betweenness_writes_no_pairs_of_sources_that_nothing_enters(graph, fan,
     assert got.keys() == want.keys() and all(math.isclose(got[v], x, abs_tol=1e-9) for v, x in want.items())
     if square > 1:
         assert written["hops"] <= 36
+
+
+def test_closeness_writes_no_pairs_of_sources_that_nothing_enters(graph, fan, written):
+    want = {}
+    for s, d in plain(fan, False).items():
+        want[s] = (len(d) - 1) ** 2 / ((N - 1) * sum(d.values())) if len(d) > 1 else 0.0
+    got = {r.vertex: r.score for r in A.closeness_centrality(graph).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[v], x, abs_tol=1e-12) for v, x in want.items())
+    assert written["hops"] <= 36
