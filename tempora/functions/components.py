@@ -7,23 +7,41 @@ from pyspark.sql import DataFrame, functions as F
 from tempora.functions.lineage import materialize, release
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step: neighbours (large: the greater ones) move to the least neighbour of each node."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    moved = both.join(least, "u")
+#: Rows of a key from which on it is looked up in a broadcast table.
+HOT = 1 << 18
+#: Rows of the last round for each task that makes rows distinct.
+TASK = 1 << 18
+
+
+def _least(edges: DataFrame, key: str) -> DataFrame:
+    """edges with m, the least v of a node, for the node in the column key; null if the node has no lesser neighbour.
+
+    Nodes of many rows are looked up in a broadcast table, as a join by key would gather all their rows in one task.
+    """
+    least = edges.groupBy(F.col("u").alias(key)).agg(F.min("v").alias("m"))
+    hot = materialize(edges.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(key), "hot")
+    if hot.isEmpty():
+        return edges.join(least, key, "left")
+    rest = edges.join(F.broadcast(hot), key, "left_anti").join(least, key, "left")
+    few = materialize(hot.join(least, key, "left"), "hot")  # one row for HOT edges at most
+    return rest.unionByName(edges.join(F.broadcast(few), key))
+
+
+def _star(edges: DataFrame, large: bool, parts: int) -> DataFrame:
+    """One step on edges u > v: neighbours (large: the greater ones) move to the least neighbour of each node."""
     if large:
-        out = moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = _least(edges, "v").select("u", F.coalesce("m", "v").alias("v"))
     else:
-        out = moved.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
+        out = _least(edges, "u")
+        out = out.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(out.where(F.col("v") == F.col("m")).select("u", "v"))
+    return out.repartition(parts, "u", "v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Columns u, v for edges u > v: each linked node but the least of its component, and that least node.
 
     Rounds grow with the logarithm of the nodes. No step gathers a node's neighbours: minima are
-    combined before the shuffle, and the joins that follow can be split where a node is hot.
+    combined before the shuffle, and hot nodes are looked up where their edges are.
     """
     edges = materialize(edges, "links")
 
@@ -32,8 +50,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     was = mark(edges)
     while was[0]:
-        old, edges = edges, materialize(_star(_star(edges, True), False), "stars")
-        release(old)
+        parts = -(-was[0] // TASK)
+        moved = materialize(_star(edges, True, parts), "stars")
+        old, edges = edges, materialize(_star(moved, False, parts), "stars")
+        release(old, moved)
         now = mark(edges)
         if now == was:
             break

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tempora.functions import components as stars
 from tempora.operators import analytics as A
 
 N = 60
@@ -108,3 +109,16 @@ def test_closeness_writes_no_pairs_of_sources_that_nothing_enters(graph, fan, wr
     got = {r.vertex: r.score for r in A.closeness_centrality(graph).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[v], x, abs_tol=1e-12) for v, x in want.items())
     assert written["hops"] <= 36
+
+
+@pytest.mark.parametrize("hot", [1 << 18, 2])
+def test_components_look_hot_nodes_up_in_a_broadcast_table(spark, monkeypatch, hot):
+    monkeypatch.setattr(stars, "HOT", hot)
+    rng = random.Random(7)
+    edges = {(max(e), min(e)) for e in [(60, i) for i in range(1, 20)] + [(20, i) for i in range(21, 40)] + [(rng.randint(40, 59), rng.randint(40, 59)) for _ in range(15)] if e[0] != e[1]}
+    least = {v: v for e in edges for v in e}
+    for _ in range(60):
+        for u, v in edges:
+            least[u] = least[v] = min(least[u], least[v])
+    got = {r.u: r.v for r in stars.components(spark.createDataFrame(sorted(edges), "u bigint, v bigint")).collect()}
+    assert got == {v: x for v, x in least.items() if v != x}
