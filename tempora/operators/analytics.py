@@ -83,10 +83,16 @@ class Projection:
             raise AnalyticsError("INVALID-REQUEST", f"no vertex {vertex}")
 
 
+#: Rows that a join may broadcast, and pairs that a task of one-edge extensions holds.
+SMALL = 1 << 20
+
+
 def _undirected(g: Projection) -> DataFrame:
-    """The simple undirected graph as distinct (a, b) in both directions, without loops."""
+    """The simple undirected graph as distinct (a, b) in both directions, without loops. Dealt out first, so that no task holds all
+    pairs of a large split."""
     e = g.edges.where(F.col("src") != F.col("dst"))
-    return e.select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("x")).select("x.a", "x.b").distinct()
+    both = e.select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("x")).select("x.a", "x.b")
+    return both.repartition(-(-g.edges.count() // (SMALL // 2)) or 1, "a", "b").distinct()
 
 
 def _weights(edges: DataFrame, weight: str | None) -> DataFrame:
@@ -149,10 +155,6 @@ def _entered(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return core, e.join(heads, "src", "left_semi"), e.where(F.col("src") != F.col("dst")).join(heads, "src", "left_anti")
 
 
-#: Rows that a join may broadcast, and pairs that a task of one-edge extensions holds.
-SMALL = 1 << 20
-
-
 def _extended(outer: DataFrame, reach: DataFrame) -> DataFrame:
     """source, vertex, distance over one edge of outer (src, dst, w) and then as in reach (source, vertex, distance).
 
@@ -448,7 +450,13 @@ def _triangles(g: Projection) -> DataFrame:
     p = u.join(d, "a").select("a", "b", F.struct("d", "a").alias("ra")).join(d.select(F.col("a").alias("b"), F.struct("d", F.col("a").alias("x")).alias("rb")), "b")
     p = materialize(p.where(F.struct(F.col("ra.d"), F.col("ra.a")) < F.struct(F.col("rb.d"), F.col("rb.x"))).select("a", "b", "rb"), "triangles")
     two = p.alias("l").join(p.alias("r"), "a").where(F.col("l.rb") < F.col("r.rb")).select("a", F.col("l.b").alias("b"), F.col("r.b").alias("c"))
-    return two.join(p.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"], "left_semi")
+    third = p.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    third = materialize(third.join(p.select("b").distinct(), "b", "left_semi"), "triangles")  # no other edge closes a pair
+    if third.count() <= SMALL:
+        return two.join(F.broadcast(third), ["b", "c"], "left_semi")
+    pairs = p.groupBy("a").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0]
+    parts = -(-pairs // (8 * SMALL))
+    return two.repartition(parts, "b", "c").join(third.repartition(parts, "b", "c"), ["b", "c"], "left_semi")
 
 
 def triangle_count(g: Projection) -> DataFrame:

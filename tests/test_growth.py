@@ -122,3 +122,17 @@ def test_components_look_hot_nodes_up_in_a_broadcast_table(spark, monkeypatch, h
             least[u] = least[v] = min(least[u], least[v])
     got = {r.u: r.v for r in stars.components(spark.createDataFrame(sorted(edges), "u bigint, v bigint")).collect()}
     assert got == {v: x for v, x in least.items() if v != x}
+
+
+@pytest.mark.parametrize("small", [1 << 20, 16])
+def test_clustering_deals_pairs_to_as_many_tasks_as_they_need(graph, fan, monkeypatch, small):
+    monkeypatch.setattr(A, "SMALL", small)
+    near = defaultdict(set)
+    for a, b, _ in fan:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    want = {v: sum(u in near[x] for u in near[v] for x in near[v]) / max(1, len(near[v]) * (len(near[v]) - 1)) for v in range(1, N + 1)}
+    got = {r.vertex: r.score for r in A.clustering_coefficient(graph).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[v], x, abs_tol=1e-12) for v, x in want.items())
+    assert A._undirected(graph).rdd.getNumPartitions() == -(-2 * len(fan) // small)
