@@ -35,8 +35,8 @@ class Projection:
     """The graph that algorithms run on, with the caps that guard them.
 
     max_iterations bounds the rounds of every loop, max_work the rows that rounds go over (edges and vertices, once a round),
-    max_pairs the (source, vertex) pairs that all-pairs algorithms hold at a time, max_task the links that dfs and louvain hold in
-    one task, which are refused beyond it. None: no bound.
+    max_pairs the (source, vertex) pairs that all-pairs algorithms hold at a time, max_task the links that louvain holds in one task,
+    which are refused beyond it, as they are in dfs beyond 2^24 of them. None: no bound.
     """
 
     vertices: DataFrame
@@ -44,7 +44,7 @@ class Projection:
     max_iterations: int = 10_000
     max_work: int | None = None
     max_pairs: int | None = None
-    max_task: int | None = 1 << 24
+    max_task: int | None = 1 << 27
     used: int = 0
     size: int | None = None
 
@@ -73,10 +73,13 @@ class Projection:
             if self.used > self.max_work:
                 raise AnalyticsError("RESOURCE-LIMIT", f"more than {self.max_work} rows of work")
 
-    def one_task(self, rows: DataFrame, key: str) -> None:
-        """Refuse rows of which one key's are too many for a task."""
-        if self.max_task is not None and not rows.groupBy(key).count().where(F.col("count") > self.max_task).isEmpty():
-            raise AnalyticsError("RESOURCE-LIMIT", f"more than {self.max_task} links in one task")
+    def one_task(self, rows: DataFrame, key: str, links=None, most: int | None = None) -> None:
+        """Refuse rows of which one key's are too many for a task, or their links; most: a bound besides max_task."""
+        if self.max_task is None:
+            return
+        most = self.max_task if most is None else min(most, self.max_task)
+        if not rows.groupBy(key).agg(F.sum(F.lit(1) if links is None else links).alias("n")).where(F.col("n") > most).isEmpty():
+            raise AnalyticsError("RESOURCE-LIMIT", f"more than {most} links in one task")
 
     def has(self, vertex: int) -> None:
         if self.vertices.where(F.col("id") == vertex).isEmpty():
@@ -141,7 +144,7 @@ def dfs(g: Projection, source: int, max_depth: int = 64) -> DataFrame:
 
     start = within.where(F.col("vertex") == source).select(F.col("vertex").alias("src"), F.col("vertex").alias("dst"))
     rows = materialize(e.select("src", "dst").unionByName(start).withColumn("one", F.lit(True)), "dfs")
-    g.one_task(rows, "one")
+    g.one_task(rows, "one", most=1 << 24)
     return rows.groupBy("one").applyInPandas(walk, "position bigint, vertex bigint")
 
 
@@ -516,39 +519,50 @@ def label_propagation(g: Projection, iterations: int = 20) -> DataFrame:
 
 
 def louvain(g: Projection, iterations: int = 20) -> DataFrame:
-    """vertex, community: one level of local moves in id order. Moves never leave a weak component, so components run side by side; one is one task's work."""
+    """vertex, community: one level of local moves in id order. Moves never leave a weak component, so components run side by side; one is one task's work, at about 16 bytes a link."""
     g.rounds(iterations)
     u = materialize(_undirected(g), "louvain")
     total = float(u.count())
-    parts = weakly_connected_components(g)
-    rows = materialize(u.join(parts.select(F.col("vertex").alias("a"), "component"), "a").select("component", "a", "b"), "louvain")
+    parts = weakly_connected_components(g).select(F.col("vertex").alias("a"), "component")
+    near = u.groupBy("a", F.shiftright("b", 10).alias("block")).agg(F.collect_list("b").alias("near"))  # at most 1,024 in a list
+    rows = materialize(near.join(parts, "a").select("component", "a", "near"), "louvain")
     release(u)
-    g.one_task(rows, "component")
-
-    def moves(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for a, b in sorted(zip(pdf.a.tolist(), pdf.b.tolist())):
-            near.setdefault(a, []).append(b)
-        of = {v: v for v in near}
-        weight = {v: float(len(x)) for v, x in near.items()}  # by community, kept as vertices move
+    g.one_task(rows, "component", F.size("near"))
+
+    def moves(batches):
+        owner, sizes, ends = [], [], []
+        for x in batches:
+            lists = x.column(1)
+            owner.append(x.column(0).to_numpy().copy())
+            sizes.append(np.diff(lists.offsets.to_numpy()))
+            ends.append(lists.flatten().to_numpy().copy())
+        if not owner:
+            return
+        ids, at = np.unique(np.concatenate(owner), return_inverse=True)
+        degree = np.bincount(at, weights=np.concatenate(sizes))
+        for i, x in enumerate(ends):
+            ends[i] = np.searchsorted(ids, x).astype(np.int32)
+        links = np.concatenate(ends)  # lists come in the order of a
+        ends.clear()
+        first = np.concatenate([[0], np.cumsum(degree).astype(np.int64)]).tolist()
+        of, weight = np.arange(len(ids)), degree.copy()  # weight: by community, kept as vertices move
         for _ in range(iterations):
             moved = False
-            for v in sorted(near):
-                inside: dict[int, float] = {}
-                for x in near[v]:
-                    inside[of[x]] = inside.get(of[x], 0.0) + 1.0
-                degree = float(len(near[v]))
-                gains = {c: w - degree * weight[c] / total for c, w in inside.items()}
-                best = min(gains, key=lambda c: (-gains[c], c))
-                if best != of[v] and gains[best] > 0:
-                    weight[of[v]] -= degree
-                    weight[best] += degree
-                    of[v], moved = best, True
+            for v in range(len(ids)):
+                c, inside = np.unique(of[links[first[v] : first[v + 1]]], return_counts=True)
+                gains = inside - degree[v] * weight[c] / total
+                i = gains.argmax()  # the smallest community of equals
+                if gains[i] > 0 and c[i] != of[v]:
+                    weight[of[v]] -= degree[v]
+                    weight[c[i]] += degree[v]
+                    of[v], moved = c[i], True
             if not moved:
                 break
-        return pd.DataFrame({"id": list(of), "label": list(of.values())})
+        for i in range(0, len(ids), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + (1 << 16)]), pa.array(ids[of[i : i + (1 << 16)]])], names=["id", "label"])
 
-    found = rows.groupBy("component").applyInPandas(moves, "id bigint, label bigint")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.repartition(tasks, "component").sortWithinPartitions("a").select("a", "near").mapInArrow(moves, "id bigint, label bigint")
     state = g.vertices.join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     return _renumbered(materialize(state, "louvain"), "label")
 

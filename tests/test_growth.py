@@ -136,3 +136,32 @@ def test_clustering_deals_pairs_to_as_many_tasks_as_they_need(graph, fan, monkey
     got = {r.vertex: r.score for r in A.clustering_coefficient(graph).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[v], x, abs_tol=1e-12) for v, x in want.items())
     assert A._undirected(graph).rdd.getNumPartitions() == -(-2 * len(fan) // small)
+
+
+def test_louvain_holds_lists_of_bounded_length(spark, monkeypatch):
+    """Against a plain sequence, on components of which one has a hub with links in several lists."""
+    rng, given, real = random.Random(9), [], A.materialize
+    monkeypatch.setattr(A, "materialize", lambda df, name: (given.append(df.agg(F.max(F.size("near"))).first()[0]) if "near" in df.columns else None) or real(df, name))
+    pairs = {(1, v) for v in range(2, 1500)} | {(v, rng.randint(2, 1499)) for v in range(2, 1500)} | {(v, rng.randint(2000, 2020)) for v in range(2000, 2020)}
+    near = defaultdict(set)
+    for a, b in pairs:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    e = spark.createDataFrame([(i, *x) for i, x in enumerate(sorted(pairs))], "id bigint, src bigint, dst bigint")
+    got = {r.vertex: r.community for r in A.louvain(A.Projection(spark.range(1, 2022), e), 8).collect()}
+    of, total = {v: v for v in range(1, 2022)}, sum(map(len, near.values()))
+    weight = Counter({v: len(x) for v, x in near.items()})
+    for _ in range(8):
+        moved = False
+        for v in sorted(near):
+            gain, c = min((-(w - len(near[v]) * weight[c] / total), c) for c, w in Counter(of[u] for u in near[v]).items())
+            if c != of[v] and gain < 0:
+                weight[of[v]] -= len(near[v])
+                weight[c] += len(near[v])
+                of[v], moved = c, True
+        if not moved:
+            break
+    ids = {c: i for i, c in enumerate(sorted(set(of.values())), 1)}
+    assert got == {v: ids[c] for v, c in of.items()}
+    assert len(given) == 1 and given[0] <= 1024
